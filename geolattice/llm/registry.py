@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolattice.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
+from geolattice.llm import decontaminate, embedding_dedup, html_extract, licences, line_dedup, packing, pii, simhash_dedup, token_counts, toxicity
 
-MODULES = [packing, simhash_dedup, toxicity, line_dedup, decontaminate]
+MODULES = [html_extract, licences, token_counts, pii, embedding_dedup, packing, simhash_dedup, toxicity, line_dedup, decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
