@@ -72,18 +72,12 @@ def frequencies(docs: DataFrame, vocabulary: pa.Array, text_col: str = "text") -
         for b in batches:
             texts = texts_of(b.column(0))
             total += len(texts)
-            for start, stop in slices(texts, 8_000_000):
+            for start, stop in slices(texts, 1_500_000):
                 flat, offsets = words_of(texts.slice(start, stop - start))
                 ids = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 at = np.flatnonzero(ids >= 0)
                 owner = np.searchsorted(offsets, at, side="right") - 1
-                seen = np.zeros((stop - start) * len(words) if (stop - start) * len(words) < 50_000_000 else 0, bool)
-                pair = owner * len(words) + ids[at]
-                if len(seen):
-                    seen[pair] = True
-                    df += seen.reshape(-1, len(words)).sum(0)
-                else:
-                    df += np.bincount(np.unique(pair) % len(words), minlength=len(words))
+                df += np.bincount(np.unique(owner * len(words) + ids[at]) % max(1, len(words)), minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([df.tobytes()], pa.binary())], names=["n", "df"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -188,7 +182,7 @@ def matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], float]:
     short = [k for k, w in enumerate(index.words) if len(w) < MIN_WORDS]
     stops = np.append(index.weight == 0, False)
     weight = np.append(index.weight, np.float32(index.outside))
-    for start, stop in slices(texts, 8_000_000):
+    for start, stop in slices(texts, 1_500_000):
         flat, offsets = words_of(texts.slice(start, stop - start))
         if not len(flat):
             continue
