@@ -42,7 +42,7 @@ from geolattice.llm.components import components
 
 MAX_BITS, WORD_BITS, RADIUS = 52, 14, 7
 #: Fingerprints that an index task holds, about.
-INDEX_ROWS = 100_000
+INDEX_ROWS = 250_000
 FAN = 8
 _SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 
@@ -190,7 +190,7 @@ def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, word_bits: int =
     """a, b: links that join all near copies found among n distinct fingerprints (id, w0..w3)."""
     m, flips = shape(n, radius)
     parts = cuts(m)
-    high = min(min(w for _, w in parts) - 2, max(0, math.ceil(math.log2(max(1, n / index_rows)))))  # bits that share out an index
+    high = min(min(w for _, w in parts) - 2, max(2, math.ceil(math.log2(max(1, n / index_rows)))))  # bits that share out an index: four shares at least
     reach = [sum(1 << k for k in c) for f in range(min(flips, high) + 1) for c in combinations(range(high), f)]
     places = [(word, part) for word in range(4) for part in range(m)]
 
