@@ -96,11 +96,11 @@ def _sql_lines(text: str) -> str:
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"
     x = f"regexp_replace({x}, '{_VERSION}', ' version \\2', 'g')"
-    return f"list_transform(string_split({x}, chr(10)), y -> trim(replace(replace(y, '   ', ' '), '  ', ' '), ' '))"
+    return f"list_transform(string_split({x}, chr(10)), lambda y: trim(replace(replace(y, '   ', ' '), '  ', ' '), ' '))"
 
 
 def _sql_whole(lines: str) -> str:
-    return f"array_to_string(list_filter({lines}, y -> y <> '' AND NOT regexp_matches(y, '{_COPYRIGHT}')), ' ')"
+    return f"array_to_string(list_filter({lines}, lambda y: y <> '' AND NOT regexp_matches(y, '{_COPYRIGHT}')), ' ')"
 
 
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in NOTICES)

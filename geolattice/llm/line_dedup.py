@@ -71,10 +71,10 @@ QUERY = "op9_line_dedup"
 SQL = f"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
-lines AS (SELECT source, unnest(list_distinct(list_filter(list_transform(ls, x -> trim(x, ' ')), x -> x <> ''))) AS line FROM pages),
+lines AS (SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM pages),
 counts AS (SELECT source, line, count(*) AS n FROM lines GROUP BY source, line HAVING count(*) >= {MIN_PAGES}),
 boiler AS (SELECT c.source, list(c.line) AS bl FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE c.n > t.total * CAST({RATIO} AS DOUBLE) GROUP BY c.source),
-done AS (SELECT doc_id, p.source, text, ls, list_filter(ls, x -> trim(x, ' ') = '' OR NOT list_contains(coalesce(bl, []), trim(x, ' '))) AS stays
+done AS (SELECT doc_id, p.source, text, ls, list_filter(ls, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(bl, []), trim(x, ' '))) AS stays
          FROM pages p LEFT JOIN boiler b ON p.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(stays, chr(10)) END AS text,
        CAST(CASE WHEN text IS NULL THEN 0 ELSE len(ls) - len(stays) END AS BIGINT) AS n_dropped FROM done
