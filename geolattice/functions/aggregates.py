@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,8 @@ def json_max(value: Column) -> Column:
 
 def leaf_rows(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     """keys, path, value of every leaf of the documents."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<path:string,value:string>>")
     def rows(column: pd.Series) -> pd.Series:
-        import json
-
         return column.map(lambda t: None if t is None else [(p, D.canonical(v)) for p, v in D.leaves(json.loads(t))])
 
     return df.select(*keys, F.explode(rows(F.col(json_col))).alias("leaf")).select(*keys, "leaf.path", "leaf.value")
@@ -44,12 +43,8 @@ def leaf_rows(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
 
 def field_rows(df: DataFrame, json_col: str, *keys: str) -> DataFrame:
     """keys, path, is_leaf, kind of every member of the documents."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<path:string,is_leaf:boolean,kind:string>>")
     def rows(column: pd.Series) -> pd.Series:
-        import json
-
         return column.map(lambda t: None if t is None else D.paths(json.loads(t)))
 
     return df.select(*keys, F.explode(rows(F.col(json_col))).alias("f")).select(*keys, "f.*")
