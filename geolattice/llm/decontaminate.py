@@ -1,7 +1,8 @@
 """Operator 10: benchmark passages in the corpus, by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's words are counted over the whole corpus.
-   Words in more than `MAX_DF` of the documents are stop words; the others weigh as
+   Words in more than `MAX_DF` of the documents (of which `FEW` are added, so that a
+   corpus of a few documents has no stop words) are stop words; the others weigh as
    log(documents / frequency), words outside the benchmark as if one document had them.
 2. The TF-IDF matrix of the benchmark's passages is reduced by randomised SVD (range
    finder with power iterations, each product a distributed sum over the passages).
@@ -19,8 +20,8 @@ to the executors is bounded whatever its size; its rank is the number of items u
 `RANK`.  The corpus is read, never shuffled: only counts and the findings move.
 
 Defined results: null and empty texts and items have no findings; items of fewer than
-`MIN_WORDS` words, which any text may hold by chance, match only as a whole run of
-words; items with equal words are each found; repeated rows give equal findings once;
+`MIN_WORDS` words, which any text may hold by chance, and items that consist of stop
+words match only as a whole run of words; items with equal words are each found; repeated rows give equal findings once;
 null ids of documents are judged like others; an empty benchmark finds nothing; other
 columns are untouched.
 """
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from geolattice.llm._store import documents
 from geolattice.llm._text import slices, texts_of, words_of
 
-WINDOW, MIN_COSINE, MIN_LCS, SURE_LCS, MAX_DF = 64, 0.2, 0.6, 0.8, 0.2
+WINDOW, MIN_COSINE, MIN_LCS, SURE_LCS, MAX_DF, FEW = 64, 0.2, 0.6, 0.8, 0.2, 20
 RANK, OVERSAMPLE, POWER, ITEMS_PER_PASS, MIN_WORDS = 256, 16, 2, 4096, 6
 
 
@@ -139,7 +140,7 @@ def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col:
         part = slice(lo, lo + ITEMS_PER_PASS)
         vocabulary = pa.array(sorted({w for x in words[part] for w in x}), pa.large_string())
         n, df = frequencies(docs, vocabulary, text_col)
-        weight = np.where(df > MAX_DF * n, 0.0, np.log((n + 1) / np.maximum(df, 1)))
+        weight = np.where(df > MAX_DF * (n + FEW), 0.0, np.log((n + 1) / np.maximum(df, 1)))
         place = {w: k for k, w in enumerate(vocabulary.to_pylist())}
         sparse = []
         for item in words[part]:
@@ -179,7 +180,7 @@ def matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], float]:
     """(row, item) -> share of the item in the longest common subsequence, for accepted pairs."""
     found: dict[tuple[int, int], float] = {}
     half = WINDOW // 2
-    short = [k for k, w in enumerate(index.words) if len(w) < MIN_WORDS]
+    runs = [k for k, w in enumerate(index.words) if len(w) < MIN_WORDS or not index.weight[w].any()]
     stops = np.append(index.weight == 0, False)
     weight = np.append(index.weight, np.float32(index.outside))
     for start, stop in slices(texts, 1_500_000):
@@ -226,7 +227,7 @@ def matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], float]:
                 if share >= MIN_LCS and (2 * answered >= needed or share >= SURE_LCS):
                     key = (start + int(doc), int(k))
                     found[key] = max(found.get(key, 0.0), share)
-        for k in short:
+        for k in runs:
             item = np.asarray(index.words[k])
             hit = np.flatnonzero(ids[: len(ids) - len(item) + 1] == item[0])
             for j in range(1, len(item)):

@@ -37,8 +37,9 @@ from geolattice.llm._text import hash_words, texts_of
 MIN_WORDS, BLOCK_CHARS = 10, 128_000_000
 
 _DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b.*?(?:</\1\s*>|\Z)")
-_INLINE = re.compile(r"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|small|span|strong|sub|sup|u|var|wbr)(?:\s[^<>]*+)?>")
-_TAG = re.compile(r"""<[!/?a-zA-Z](?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+>|<[!/?a-zA-Z][^<>]*+>""")
+_ATTRIBUTES = r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+"""
+_INLINE = re.compile(rf"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|small|span|strong|sub|sup|u|var|wbr)(?:\s{_ATTRIBUTES})?>")
+_TAG = re.compile(rf"<[!/?a-zA-Z]{_ATTRIBUTES}>|<[!/?a-zA-Z][^<>]*+>")
 
 
 def plain(page: str) -> str:

@@ -55,7 +55,7 @@ _COPYRIGHT = r"^(portions )?(copyright (c )?[0-9]{4}|c [0-9]{4}|copyright .* all
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line, in order."""
-    x = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    x = F.regexp_replace(F.replace(F.lower(text), F.lit("©"), F.lit(" c ")), r"[^\p{L}\p{N}\n]+", " ")
     x = F.concat(F.lit(" "), F.replace(x, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -91,7 +91,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_lines(text: str) -> str:
-    x = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    x = f"regexp_replace(replace(lower({text}), '©', ' c '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     x = f"(' ' || replace({x}, chr(10), ' ' || chr(10) || ' ') || ' ')"
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"

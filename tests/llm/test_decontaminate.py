@@ -102,3 +102,13 @@ def test_item_deep_in_a_long_text(spark, docs):
     table = docs([(1, prose(rng, 30_000) + " " + item + " " + prose(rng, 30_000)), (2, prose(rng, 500))])
     got = D.findings(table, D.build(spark, table, bench(spark, [(9, item)]))).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 9)]
+
+
+def test_item_of_stop_words_is_found_as_a_run(spark, docs):
+    rng = random.Random(4)
+    item = "the one that all of these texts hold somewhere"
+    rows = [(k, f"{prose(rng, 60)} {item} {prose(rng, 60)}") for k in range(80)] + [(k, " ".join(rng.sample(item.split(), 9)) + " " + prose(rng, 60)) for k in range(80, 100)]
+    table = docs(rows)
+    indexes = D.build(spark, table, bench(spark, [(1, item)]))
+    assert not indexes[0].weight.any()
+    assert {r["doc_id"] for r in D.findings(table, indexes).collect()} == set(range(80))
