@@ -12,7 +12,7 @@ from datetime import datetime, timedelta, timezone
 from typing import Any
 
 _DURATION = re.compile(r"^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$", re.I)
-_INSTANT = re.compile(r"^(\d{4,6})-(\d\d)(?:-(\d\d))?(?:[T ](\d\d):?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?\s*(Z|[+-]\d\d(?::?\d\d)?)?$", re.I)
+_INSTANT = re.compile(r"^\+?(\d{4,6})-(\d\d)(?:-(\d\d))?(?:[T ](\d\d):?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?\s*(Z|[+-]\d\d(?::?\d\d)?)?$", re.I)
 
 Range = tuple[str | None, str | None]
 
@@ -79,15 +79,16 @@ def parse_range(value: Any, now: datetime | None = None) -> Range:
     if is_duration[1] and not is_duration[0]:
         return instant(start), add_duration(instant(start), end, 1)
     lo, hi = instant(start), instant(end)
-    if _order(lo) > _order(hi):
+    if order_key(lo) > order_key(hi):
         raise ValueError("a time range must not end before it starts")
     return lo, hi
 
 
-def _order(at: str) -> tuple[int, str]:
-    year, _, rest = at.partition("-")
+def order_key(at: str) -> tuple[int, str]:
+    """Sorts instants; years may have more than four digits."""
+    year, _, rest = at.lstrip("+").partition("-")
     return int(year), rest
 
 
 def earlier(a: str, b: str) -> bool:
-    return _order(a) < _order(b)
+    return order_key(a) < order_key(b)

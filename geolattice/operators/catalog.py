@@ -94,6 +94,7 @@ class Catalog:
 
     def __post_init__(self) -> None:
         self.settings.spark = self.spark
+        self.spark.conf.set("spark.sql.session.timeZone", "UTC")  # times are read and written as text in places
         jvm = self.spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -148,13 +149,18 @@ class Catalog:
 
     def items(self, keep: Callable[[dict[str, Any]], bool] | None = None) -> DataFrame:
         """All items, or those of the partitions that pass `keep`, which is asked before any file is opened."""
-        paths = [f"{self.root}/{p}" for part in self.manifest["items"] if keep is None or keep(part) for p in part["paths"]]
+        return self.rows_of([p for p in self.manifest["items"] if keep is None or keep(p)])
+
+    def rows_of(self, parts: list[dict[str, Any]]) -> DataFrame:
+        paths = [f"{self.root}/{x}" for p in parts for x in p["paths"]]
         return self.spark.read.schema(_STORED).parquet(*paths) if paths else self.spark.createDataFrame([], _STORED)
 
     def stats(self) -> DataFrame:
-        rows = [tuple(p["stats"]) for p in self.manifest["items"]]
+        return self.stats_of(self.manifest["items"])
+
+    def stats_of(self, parts: list[dict[str, Any]]) -> DataFrame:
         text = STATS.replace("timestamp", "string")
-        out = self.spark.createDataFrame([(p["collection"], p["bucket"], *s) for p, s in zip(self.manifest["items"], rows)], text)
+        out = self.spark.createDataFrame([(p["collection"], p["bucket"], *p["stats"]) for p in parts], text)
         return out.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in STATS.split(", ")])
 
     def _commit(self, changed: dict[tuple[str, str], list[str]], added: dict[tuple[str, str], list[str]]) -> None:

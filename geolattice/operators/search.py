@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolattice.functions import documents as D
+from geolattice.functions.timeranges import earlier, instant, order_key
 from geolattice.operators import items as I
+from geolattice.operators.bands import month_histogram
 from geolattice.operators.catalog import Catalog
 from geolattice.plans.compile import Compiler
 from geolattice.plans.envelope import Envelope, envelope
@@ -23,6 +25,8 @@ from geolattice.plans.properties import Queryable
 from geolattice.plans.settings import Settings
 
 DEFAULT_LIMIT = 10
+#: A page's first band of partitions holds so many times the rows of the page.
+BAND_MARGIN = 3
 
 
 @dataclass
@@ -35,6 +39,7 @@ class Plan:
     tree: dict | None
     after: Column | None = None
     back: bool = False
+    lead: str | None = None  # first sort value of the token
 
     @property
     def matched(self) -> DataFrame:
@@ -64,8 +69,8 @@ def plan(rows: DataFrame, request: dict, queryables: dict[str, Queryable] | None
     compiler = Compiler(rows, queryables, settings.flag("additional_properties", conf), text_fields)
     keys = sort_keys(compiler.props, request.get("sortby"), default_sort)
     token, back = split_token(request.get("token"))
-    after = seek(keys, decode(token), back) if token else None
-    return Plan(rows, compiler.where(tree), keys, tree, after, back)
+    values = decode(token) if token else [None]
+    return Plan(rows, compiler.where(tree), keys, tree, seek(keys, values, back) if token else None, back, values[0])
 
 
 def search_df(rows: DataFrame, request: dict, queryables: dict[str, Queryable] | None = None, settings: Settings | None = None) -> DataFrame:
@@ -112,9 +117,8 @@ class Search:
     def _collections(self) -> list[str]:
         return [r[0] for r in self.catalog.table("collections").select("id").collect()]
 
-    def scan(self, env: Envelope) -> DataFrame:
-        """Items of the partitions that the envelope leaves, by the statistics kept with them."""
-        from geolattice.functions.timeranges import earlier, instant
+    def partitions(self, env: Envelope) -> list[dict]:
+        """Partitions that the envelope leaves, by the statistics kept with them."""
 
         def span_ok(spans, lo, hi) -> bool:
             if spans is None or lo is None or hi is None:
@@ -132,7 +136,10 @@ class Search:
                 return False
             return env.box is None or x0 is None or x0 <= env.box[2] and x1 >= env.box[0] and y0 <= env.box[3] and y1 >= env.box[1]
 
-        return self.catalog.items(keep)
+        return [p for p in self.catalog.manifest["items"] if keep(p)]
+
+    def scan(self, env: Envelope) -> DataFrame:
+        return self.catalog.rows_of(self.partitions(env))
 
     def plan(self, request: dict) -> Plan:
         tree = search_tree(request, str(self.settings.get("default_filter_lang", request.get("conf"))))
@@ -174,11 +181,13 @@ class Search:
         """One page; the rows are cut to it before documents are rebuilt."""
         p, limit = self.plan(request), int(request.get("limit") or DEFAULT_LIMIT)
         names = [f"k{n}" for n in range(len(p.keys))]
-        df = p.page(limit + 1)
         texts = [(F.date_format(k.column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if k.dtype.startswith("timestamp") else k.column.cast("string")).alias(n) for n, k in zip(names, p.keys)]
-        placed = df.select("*", *texts, F.monotonically_increasing_id().alias("place"))
-        fields = request.get("fields")
-        docs = I.hydrate(placed, self.catalog.table("fragments"), fields, "place", *names).orderBy("place").collect()  # a page of rows
+        docs: list = []
+        for part in self._bands(p, limit + 1):
+            placed = part.page(limit + 1).select("*", *texts, F.monotonically_increasing_id().alias("place"))
+            docs = I.hydrate(placed, self.catalog.table("fragments"), request.get("fields"), "place", *names).orderBy("place").collect()  # a page of rows
+            if len(docs) > limit:
+                break
         more, docs = len(docs) > limit, docs[:limit]
         if p.back:
             docs = docs[::-1]
@@ -187,6 +196,50 @@ class Search:
         has_prev = (more if p.back else p.after is not None) and docs
         return Page([json.loads(r["doc"]) for r in docs], token(docs[-1]) if has_next else None, token(docs[0]) if has_prev else None, self.count(request, p))
 
+    def _bands(self, p: Plan, wanted: int) -> Iterator[Plan]:
+        """Plans over ever more of the partitions, the last over all of them; each gives the first rows of the whole order, or too few.
+
+        Where time is the first key, partitions are taken from the end at which the page
+        begins until they hold `BAND_MARGIN` times the rows wanted, then four times as many
+        each time.  Only rows beyond all times of the partitions not taken count.
+        """
+        parts = self.partitions(envelope(p.tree, self._collections()))
+        if p.keys[0].field != "datetime" or len(parts) < 2 or any(not x["stats"] or x["stats"][1] is None for x in parts):
+            yield p
+            return
+        down = p.keys[0].descending != p.back
+        if p.lead is not None:  # partitions that lie wholly before the page
+            at = instant(p.lead)
+            parts = [x for x in parts if not (earlier(at, instant(x["stats"][1])) if down else earlier(instant(x["stats"][2]), at))]
+        nearest = sorted(parts, key=lambda x: order_key(x["stats"][2 if down else 1]), reverse=down)
+        goal, held, taken = wanted * BAND_MARGIN, 0, 0
+        while taken < len(nearest):
+            while taken < len(nearest) and held < goal:
+                held += nearest[taken]["stats"][0]
+                taken += 1
+            if taken == len(nearest):
+                break
+            edge = F.lit(nearest[taken]["stats"][2 if down else 1]).cast("timestamp")
+            yield replace(p, rows=self.catalog.rows_of(nearest[:taken]), where=p.where & (F.col("datetime") > edge if down else F.col("datetime") < edge))
+            goal *= 4
+        yield replace(p, rows=self.catalog.rows_of(parts))
+
+    def search_plan(self, request: dict) -> dict[str, Any]:
+        """A search that the caller runs: its rows as a DataFrame, and what its partitions say of where they lie in time."""
+        p = self.plan(request)
+        parts = self.partitions(envelope(p.tree, self._collections()))
+        held = [x for x in parts if x["stats"]]
+        stats = self.catalog.stats_of(held)
+        return {
+            "rows": p.page(int(request.get("limit") or DEFAULT_LIMIT)), "matched": p.matched, "keys": [(k.field, "desc" if k.descending else "asc") for k in p.keys],
+            "histogram": month_histogram(stats), "estimate": sum(x["stats"][0] for x in held),
+            "first": min((x["stats"][1] for x in held), key=order_key, default=None), "last": max((x["stats"][2] for x in held), key=order_key, default=None),
+        }
+
+    def collection_search_plan(self, request: dict) -> Plan:
+        """A search of collections that the caller runs."""
+        return plan(collections_as_items(self.catalog.table("collections")), request, self.catalog.queryables(), self.settings, ("id", "asc"))
+
     def search(self, request: dict | None = None) -> dict[str, Any]:
         """A FeatureCollection with links to itself and the pages beside it."""
         request = request or {}
@@ -212,9 +265,8 @@ class Search:
     def collection_search(self, request: dict | None = None) -> dict[str, Any]:
         """Collections that match; always counted, by id if no order is asked for."""
         request = request or {}
-        rows = collections_as_items(self.catalog.table("collections"))
         limit = int(request.get("limit") or DEFAULT_LIMIT)
-        p = plan(rows, request, self.catalog.queryables(), self.settings, ("id", "asc"))
+        p = self.collection_search_plan(request)
         names = [f"k{n}" for n in range(len(p.keys))]
         got = p.page(limit + 1).select("content", *[k.column.cast("string").alias(n) for n, k in zip(names, p.keys)]).collect()
         more, got = len(got) > limit, got[:limit]
