@@ -12,7 +12,6 @@ from datetime import datetime, timedelta, timezone
 from typing import Any
 
 import pyarrow as pa
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,9 +243,9 @@ def hydrate(items: DataFrame, fragments: DataFrame | None = None, fields: dict |
     stamps = [c for c, t in rows.dtypes if t.startswith("timestamp") and c not in keep]
     names = [f.name for f in ITEM_SCHEMA.fields if f.name not in ("updated_at", "private", "item_hash")] + ["frag_content", "frag_links"]
     packed = F.struct(*[(time_text(F.col(c)) if c in stamps else F.col(c)).alias(c) for c in names])
-    @F.pandas_udf("string")
-    def rebuild(frame: pd.DataFrame) -> pd.Series:
-        clean = frame.astype(object).where(frame.notna(), None)
-        return pd.Series([D.canonical(hydrate_row(r, fields)) for r in clean.to_dict("records")], dtype=object)
+
+    @F.arrow_udf("string")
+    def rebuild(row: pa.Array) -> pa.Array:
+        return pa.array([D.canonical(hydrate_row(r, fields)) for r in row.to_pylist()], pa.string())
 
     return rows.select(*keep, rebuild(packed).alias("doc"))
