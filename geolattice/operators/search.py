@@ -299,14 +299,19 @@ def page_token(document: dict, rel: str = "next") -> str | None:
 
 
 def collections_as_items(collections: DataFrame) -> DataFrame:
-    """Collections with an item's columns, so that one compiler serves both; what an item keeps elsewhere isn't among the properties."""
+    """Collections with an item's columns, so that one compiler serves both; what an item keeps elsewhere isn't among the properties.
+
+    A collection without a start or an end is there since, or for, all times.
+    """
     text = F.col("content")
     drop = ["links", "assets", "stac_version", "stac_extensions"]
+    ever = lambda c, at: F.coalesce(c, F.lit(at).cast("timestamp")).alias(c)
+
     @F.pandas_udf("string")
     def rest(column: pd.Series) -> pd.Series:
         return column.map(lambda t: D.canonical({k: v for k, v in json.loads(t).items() if k not in drop}))
 
     return collections.select(
-        "id", F.lit("collections").alias("collection"), "geometry", "xmin", "ymin", "xmax", "ymax", "datetime", "end_datetime", "content",
+        "id", F.lit("collections").alias("collection"), "geometry", "xmin", "ymin", "xmax", "ymax", ever("datetime", "-200000-01-01 00:00:00Z"), ever("end_datetime", "+200000-01-01 00:00:00Z"), "content",
         *[F.get_json_object(text, f"$.{d}").alias(d) for d in drop], rest(text).alias("properties"),
     )
