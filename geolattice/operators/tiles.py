@@ -12,6 +12,8 @@ import math
 import time
 from typing import Any
 
+import numpy as np
+
 from geolattice.functions.columns import MERC_MAX
 from geolattice.functions.geometry import Box, Shape, clip, union_area
 from geolattice.operators import items as I
@@ -32,13 +34,27 @@ def tile_lonlat(zoom: int, x: int, y: int) -> Box:
     return x0 / MERC_MAX * 180, lat(y0), x1 / MERC_MAX * 180, lat(y1)
 
 
+def rectangle(polygon: list) -> Box | None:
+    """Sides of a polygon that is a rectangle along the axes."""
+    if len(polygon) != 1 or len(polygon[0]) != 5 or len(set(polygon[0])) != 4:
+        return None
+    xs, ys = {x for x, _ in polygon[0]}, {y for _, y in polygon[0]}
+    return (min(xs), min(ys), max(xs), max(ys)) if len(xs) == len(ys) == 2 else None
+
+
 class Coverage:
-    """What of a shape is covered so far. Rows are cut to the shape's box; within a shape that isn't one, areas count only inside it."""
+    """What of a shape is covered so far. Rows are cut to the shape's box; within a shape that isn't one, areas count only inside it.
+
+    As long as the shape and the rows are rectangles, what is still free is kept as a list
+    of rectangles, so that a row costs one pass over these. Of other rows, what is gained is
+    found from the parts near it alone.
+    """
 
     def __init__(self, shape: Shape):
-        self.shape, self.total, self.parts = shape, union_area(shape.polygons), []
-        self.area = 0.0
-        self.is_box = all(len(p) == 1 and len(set(p[0])) == 4 and len({x for x, _ in p[0]}) == 2 for p in shape.polygons) and len(shape.polygons) == 1
+        self.shape, self.total, self.parts, self.area = shape, union_area(shape.polygons), [], 0.0
+        self.boxes = np.zeros((0, 4))
+        box = rectangle(shape.polygons[0]) if len(shape.polygons) == 1 else None
+        self.is_box, self.free = box is not None, None if box is None else np.array([box])
 
     def _covered(self, parts: list) -> float:
         if self.is_box:
@@ -46,14 +62,44 @@ class Coverage:
         # |A and B| = |A| + |B| - |A or B|
         return union_area(parts) + self.total - union_area([*parts, *self.shape.polygons])
 
+    def _take(self, box: Box) -> float:
+        """Takes a rectangle out of what is free; the area that it took."""
+        f = self.free
+        x0, y0, x1, y1 = np.maximum(f[:, 0], box[0]), np.maximum(f[:, 1], box[1]), np.minimum(f[:, 2], box[2]), np.minimum(f[:, 3], box[3])
+        hit = (x0 < x1) & (y0 < y1)
+        if not hit.any():
+            return 0.0
+        g, x0, y0, x1, y1 = f[hit], x0[hit], y0[hit], x1[hit], y1[hit]
+        rest = np.concatenate([
+            np.stack([g[:, 0], g[:, 1], x0, g[:, 3]], 1), np.stack([x1, g[:, 1], g[:, 2], g[:, 3]], 1),
+            np.stack([x0, g[:, 1], x1, y0], 1), np.stack([x0, y1, x1, g[:, 3]], 1),
+        ])
+        self.free = np.concatenate([f[~hit], rest[(rest[:, 0] < rest[:, 2]) & (rest[:, 1] < rest[:, 3])]])
+        return float(((x1 - x0) * (y1 - y0)).sum())
+
+    def _gain(self, polygon: list) -> float:
+        box = rectangle(polygon)
+        if self.free is not None and box is not None:
+            return self._take(box)
+        self.free = None
+        xs, ys = [x for r in polygon for x, _ in r], [y for r in polygon for _, y in r]
+        b = self.boxes
+        near = [self.parts[k] for k in np.flatnonzero((b[:, 0] < max(xs)) & (b[:, 2] > min(xs)) & (b[:, 1] < max(ys)) & (b[:, 3] > min(ys)))]
+        return self._covered([*near, polygon]) - self._covered(near)
+
     def add(self, geometry: dict | str) -> bool:
         """Takes a row in; whether it covers anything new."""
-        new = [c for p in Shape(geometry).polygons if (c := clip(p, self.shape.box))]
-        area = self._covered([*self.parts, *new]) if new else self.area
-        grew = area > self.area + 1e-12 * max(self.total, 1e-30)
-        if grew:
-            self.parts += new
-            self.area = area
+        gained = 0.0
+        for p in Shape(geometry).polygons:
+            if cut := clip(p, self.shape.box):
+                gain = self._gain(cut)
+                if gain > 0:
+                    ring = cut[0]
+                    self.parts.append(cut)
+                    self.boxes = np.vstack([self.boxes, [min(x for x, _ in ring), min(y for _, y in ring), max(x for x, _ in ring), max(y for _, y in ring)]])
+                    gained += gain
+        grew = gained > 1e-12 * max(self.total, 1e-30)
+        self.area += gained
         return grew
 
     @property
