@@ -175,11 +175,29 @@ def _link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shape(n: int, radius: int = RADIUS) -> tuple[int, int]:
-    """Substrings of a 64-bit word for n fingerprints (each of about log2 n bits), and bits to flip in each."""
-    m = min(8, max(2, round(64 / math.log2(max(n, 16)))))
+    """Substrings of a 64-bit word for n fingerprints, and bits to flip in each.
+
+    Fewer, longer substrings have fewer fingerprints in common but must be searched with
+    more bits flipped, which sends each fingerprint to more shares.  The cheapest number
+    is taken, by what a shuffled copy, a looked-up substring and a compared fingerprint
+    cost (in units of about ten nanoseconds); any number finds all within radius.
+    """
+
+    def cost(m: int) -> float:
+        width, flips = 64 // m, radius // m
+        sent = sum(math.comb(share_bits(n, width), f) for f in range(flips + 1))
+        looked = sum(math.comb(width, f) for f in range(flips + 1))
+        return 4 * m * (48 * sent + 15 * looked + looked * n / 2**width)
+
+    m = min(range(2, 9), key=cost)
     return m, radius // m
 
 
+def share_bits(n: int, width: int, index_rows: int = INDEX_ROWS) -> int:
+    """Leading bits of a substring that share out its index: four shares at least."""
+    return min(width - 2, max(2, math.ceil(math.log2(max(1, n / index_rows)))))
+
+
 def cuts(m: int) -> list[tuple[int, int]]:
     """Lowest bit and width of each substring."""
     ends = [64 * k // m for k in range(m + 1)]
@@ -190,7 +208,7 @@ def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, word_bits: int =
     """a, b: links that join all near copies found among n distinct fingerprints (id, w0..w3)."""
     m, flips = shape(n, radius)
     parts = cuts(m)
-    high = min(min(w for _, w in parts) - 2, max(2, math.ceil(math.log2(max(1, n / index_rows)))))  # bits that share out an index: four shares at least
+    high = share_bits(n, min(w for _, w in parts), index_rows)
     reach = [sum(1 << k for k in c) for f in range(min(flips, high) + 1) for c in combinations(range(high), f)]
     places = [(word, part) for word in range(4) for part in range(m)]
 
