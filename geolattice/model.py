@@ -28,7 +28,7 @@ class Promoted:
         return {"time": T.TimestampType(), "text": T.StringType(), "texts": T.ArrayType(T.StringType()), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType(), "json": T.StringType()}[self.kind]
 
     def definition(self) -> dict[str, Any]:
-        shape = {"time": {"type": "string", "format": "date-time"}, "texts": {"type": "array"}, "double": {"type": "number"}, "long": {"type": "integer"}, "int": {"type": "integer"}, "json": {"type": "array"}}
+        shape = {"time": dict(type="string", format="date-time"), "texts": {"type": "array"}, "double": {"type": "number"}, "long": {"type": "integer"}, "int": {"type": "integer"}, "json": {"type": "array"}}
         return {"title": self.name.split(":")[-1].replace("_", " ").title(), **shape.get(self.kind, {"type": "string"})}
 
 

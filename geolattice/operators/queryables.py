@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from geolattice.functions.aggregates import field_rows
 from geolattice.model import PROMOTED_NAMES, TEMPORAL
-from geolattice.plans.properties import Queryable, promoted_queryables
+from geolattice.plans.properties import FIXED, Queryable, promoted_queryables
+
+
+DRAFT = "http://json-schema.org/draft-07/schema#"
 
 
 def signature(name: str, collections: list[str] | None) -> str:
@@ -26,7 +29,7 @@ def merged(queryables: dict[str, Queryable] | list[Queryable], known: list[str],
         return None
     base = {n: q for n, q in promoted_queryables().items()}
     properties: dict[str, Any] = {n: q.definition for n, q in base.items()}
-    properties |= {"id": {"title": "Item ID", "type": "string"}, "datetime": {"title": "Acquired", "type": "string", "format": "date-time"}, "geometry": {"title": "Item geometry", "type": "object"}}
+    properties |= {"id": dict(type="string", title="Id"), "datetime": dict(type="string", format="date-time", title="Time"), "geometry": dict(type="object", title="Geometry")}
     own: dict[str, list[dict]] = {}
     for q in queryables.values() if isinstance(queryables, dict) else queryables:
         if ids is None or not q.collections or set(q.collections) & set(ids):
@@ -40,14 +43,14 @@ def merged(queryables: dict[str, Queryable] | list[Queryable], known: list[str],
             if found := [d[key] for d in definitions if key in d]:
                 out[key] = pick(found)
         properties[name] = out
-    return {"$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "properties": properties, "additionalProperties": additional}
+    return {"type": "object", "$schema": DRAFT, "properties": properties, "additionalProperties": additional}
 
 
 def from_schema(schema: dict[str, Any], collections: list[str] | None = None, index_fields: list[str] | None = None) -> list[Queryable]:
     """Queryables of a JSON-schema file; the fixed fields need none."""
     out = []
     for name, d in schema.get("properties", {}).items():
-        if name in ("id", "geometry", "datetime", "end_datetime", "collection"):
+        if name in FIXED:
             continue
         wrapper = {"number": "to_float", "integer": "to_int", "array": "to_text_array"}.get(d.get("type"))
         if d.get("format") == "date-time":

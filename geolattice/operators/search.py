@@ -281,13 +281,12 @@ class Search:
 
 
 def links(base: str, path: str, nxt: str | None, prv: str | None) -> list[dict]:
+    def link(rel: str, href: str, kind: str = "json", **more: str) -> dict:
+        return dict(rel=rel, type=f"application/{kind}", href=href, **more)
+
     here = f"{base}/{path}"
-    out = [{"rel": "root", "type": "application/json", "href": base}, {"rel": "self", "type": "application/json", "href": here}]
-    if nxt:
-        out.append({"rel": "next", "type": "application/geo+json", "method": "GET", "href": f"{here}?token=next:{nxt}"})
-    if prv:
-        out.append({"rel": "prev", "type": "application/geo+json", "method": "GET", "href": f"{here}?token=prev:{prv}"})
-    return out
+    beside = [link(rel, f"{here}?token={rel}:{token}", "geo+json", method="GET") for rel, token in (("next", nxt), ("prev", prv)) if token]
+    return [link("root", base), link("self", here), *beside]
 
 
 def page_token(document: dict, rel: str = "next") -> str | None:

@@ -53,7 +53,8 @@ def bbox_polygon(bbox: list[float]) -> Tree | None:
         w, s, _, e, n, _ = bbox
     else:
         return None
-    return {"type": "Polygon", "coordinates": [[[w, s], [e, s], [e, n], [w, n], [w, s]]]}
+    ring = [[x, y] for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))]
+    return {"type": "Polygon", "coordinates": [ring]}
 
 
 def geometry_of(request: dict) -> Tree | None:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from geolattice.model import PROMOTED, column_name
 
-FIXED = ("id", "geometry", "datetime", "end_datetime", "collection")
+FIXED = "id geometry datetime end_datetime collection".split()
 TOP = ("links", "assets", "stac_version", "stac_extensions")
 NUMBER, TEXT, TIME, ARRAY, FLAG = "number", "text", "time", "array", "flag"
 WRAPPERS = {"to_int": NUMBER, "to_float": NUMBER, "to_tstz": TIME, "to_text": TEXT, "to_text_array": ARRAY}

@@ -13,6 +13,10 @@ from geolattice.functions import documents as D
 from geolattice.functions.geometry import from_wkb
 
 
+#: Columns of a dehydrated dump.
+_DUMP = "id geom collection datetime end_datetime content".split()
+
+
 def read_ndjson(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """doc: one document a line; files are split, so size doesn't matter."""
     return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("doc"))
@@ -54,7 +58,7 @@ def read_dehydrated(spark: SparkSession, path: str | list[str], base_items: dict
     base_items: by collection, what its items were dehydrated against.
     """
     parts = F.split("value", "\t", 6)
-    rows = spark.read.text(path).filter(F.trim("value") != "").select(*[parts[k].alias(n) for k, n in enumerate(("id", "geom", "collection", "datetime", "end_datetime", "content"))])
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(*[parts[k].alias(n) for k, n in enumerate(_DUMP)])
     bases = base_items or {}
 
     @F.pandas_udf("string")
@@ -68,7 +72,7 @@ def read_dehydrated(spark: SparkSession, path: str | list[str], base_items: dict
             out.append(D.canonical({**body, "properties": props, "id": i, "type": "Feature", "collection": c, "geometry": from_wkb(bytes.fromhex(g))}))
         return pd.Series(out, dtype=object)
 
-    return rows.select(build("id", "geom", "collection", "datetime", "end_datetime", "content").alias("doc"))
+    return rows.select(build(*_DUMP).alias("doc"))
 
 
 def _without_marks(x):
