@@ -57,14 +57,16 @@ def windows(tokens: np.ndarray, width: int) -> np.ndarray:
     rank, depth = tokens, 1
     while depth < width:
         step = min(depth, width - depth)
-        tail = np.full(len(rank), -1, np.int64)
-        tail[: len(rank) - step] = rank[step:]
-        key = rank.astype(np.int64) * (int(rank.max()) + 2) + tail + 1
+        key = rank.astype(np.int64)
+        key *= int(rank.max()) + 2
+        key[: max(0, len(key) - step)] += rank[step:] + 1  # 0 is what lies beyond the end
         order = np.argsort(key, kind="stable")
-        new = np.empty(len(key), np.int32)
-        s = key[order]
-        new[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]).astype(np.int32)
-        rank, depth = new, depth + step
+        key = key[order]
+        place = np.zeros(len(key), np.int32)
+        np.cumsum(key[1:] != key[:-1], out=place[1:])
+        rank = np.empty(len(key), np.int32)
+        rank[order] = place
+        depth += step
     return rank
 
 
@@ -73,6 +75,7 @@ def covered(tokens: np.ndarray, page: np.ndarray, inside: np.ndarray, width: int
     rank = windows(tokens, width)
     order = np.argsort(rank, kind="stable")  # the suffix array
     r, p = rank[order], page[order]
+    del rank
     starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     shared = np.minimum.reduceat(p, starts) != np.maximum.reduceat(p, starts)
     begin = np.zeros(len(tokens), bool)
@@ -97,8 +100,8 @@ class Stream:
         d = flat.dictionary_encode()
         idx, self.words = d.indices.to_numpy(zero_copy_only=False), d.dictionary
         self.starts = np.concatenate([[0], np.cumsum(size + 1)])  # a mark after each page
-        self.tokens = np.empty(self.starts[-1], np.int64)
-        row = np.repeat(np.arange(len(size)), size + 1)
+        self.tokens = np.empty(self.starts[-1], np.int32)
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         mark = self.starts[1:] - 1
         word = np.ones(len(row), bool)
         word[mark] = False
@@ -107,8 +110,10 @@ class Stream:
         self.flat, self.size = flat, size
         _, same = np.unique(np.asarray(table.column("page_key").to_numpy()), return_inverse=True)
         self.page = same.astype(np.int32)[row] if len(same) else np.zeros(0, np.int32)
-        left = self.starts[1:][row] - 1 - np.arange(len(row)) if len(row) else np.zeros(0, np.int64)
-        self.inside, self.word, self.row = left >= width, word, row
+        edge = np.zeros(len(row) + 1, np.int8)  # where a string of `width` words begins that its page holds
+        np.add.at(edge, self.starts[:-1], 1)
+        np.add.at(edge, np.maximum(self.starts[:-1], mark - width + 1), -1)
+        self.inside, self.word, self.row = np.cumsum(edge[:-1], dtype=np.int8) > 0, word, row
 
     def prints(self, width: int) -> np.ndarray:
         """64-bit fingerprint of the string at each place."""

@@ -77,3 +77,10 @@ def test_repeated_rows_are_one_page(spark):
 
 def test_empty_table(spark):
     assert H.unique_text(pages(spark, []), 3).count() == 0
+
+
+def test_streams_shorter_than_the_width():
+    import numpy as np
+
+    for n in range(1, 12):
+        assert H.windows(np.arange(n, dtype=np.int32)[::-1].copy(), 10).tolist() == list(range(n))[::-1]
