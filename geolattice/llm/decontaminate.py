@@ -15,9 +15,9 @@
    after its last "answer:" or question mark, else its three rarest, stand in the
    window (or the subsequence holds `SURE_LCS` of the item).
 
-The benchmark is handled `ITEMS_PER_PASS` items at a time, so that the projection sent
-to the executors is bounded whatever its size; its rank is the number of items up to
-`RANK`.  The corpus is read, never shuffled: only counts and the findings move.
+The words of `ITEMS_PER_PASS` items at a time are counted in one reading of the corpus.
+At most `RANK` of these items share a projection, so that its rank is their number and
+no part of an item is lost in it, however large the benchmark.  The corpus is read, never shuffled: only counts and the findings move.
 
 Defined results: null and empty texts and items have no findings; items of fewer than
 `MIN_WORDS` words, which any text may hold by chance, and items that consist of stop
@@ -130,6 +130,24 @@ def _answer(text: str, words: list[str], weight: dict[str, float]) -> set[str]:
     return named or set(sorted(set(words), key=lambda w: (-weight.get(w, 0.0), w))[:3])
 
 
+def _index(spark: SparkSession, n: int, by_word: dict[str, float], ids: tuple, texts: tuple, words: tuple) -> Index:
+    """The index of up to `RANK` items, by the weights of their words in a corpus of n documents."""
+    vocabulary = sorted({w for x in words for w in x})
+    weight = np.array([by_word[w] for w in vocabulary])
+    place = {w: k for k, w in enumerate(vocabulary)}
+    sparse = []
+    for item in words:
+        at, count = np.unique([place[w] for w in item], return_counts=True)
+        x = count * weight[at]
+        if not x.any():  # nothing but stop words: all of them count
+            x = count.astype(float)
+        sparse.append((at.tolist(), (x / np.linalg.norm(x)).tolist()))
+    project = randomised_svd(spark, sparse, len(vocabulary), len(sparse))
+    latent = np.stack([np.asarray(x) @ project[at] for at, x in sparse]).astype(np.float32)
+    answers = [{place[w] for w in _answer(t, x, by_word) if w in place} for t, x in zip(texts, words)]
+    return Index(pa.array(vocabulary, pa.large_string()), weight.astype(np.float32), float(np.log(n + 1)), project.astype(np.float32), latent, list(ids), [[place[w] for w in x] for x in words], answers)
+
+
 def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> list[Index]:
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna().distinct().orderBy("i", "t").toArrow()
     ids, texts = rows.column("i").to_pylist(), rows.column("t").to_pylist()
@@ -137,23 +155,13 @@ def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col:
     ids, texts, words = zip(*x) if (x := [r for r in zip(ids, texts, words) if r[2]]) else ((), (), ())
     out = []
     for lo in range(0, len(ids), ITEMS_PER_PASS):
-        part = slice(lo, lo + ITEMS_PER_PASS)
-        vocabulary = pa.array(sorted({w for x in words[part] for w in x}), pa.large_string())
-        n, df = frequencies(docs, vocabulary, text_col)
-        weight = np.where(df > MAX_DF * (n + FEW), 0.0, np.log((n + 1) / np.maximum(df, 1)))
-        place = {w: k for k, w in enumerate(vocabulary.to_pylist())}
-        sparse = []
-        for item in words[part]:
-            at, count = np.unique([place[w] for w in item], return_counts=True)
-            x = count * weight[at]
-            if not x.any():  # nothing but stop words: all of them count
-                x = count.astype(float)
-            sparse.append((at.tolist(), (x / np.linalg.norm(x)).tolist()))
-        project = randomised_svd(spark, sparse, len(vocabulary), min(RANK, len(sparse)))
-        latent = np.stack([np.asarray(x) @ project[at] for at, x in sparse]).astype(np.float32)
-        by_word = {w: float(weight[k]) for w, k in place.items()}
-        answers = [{place[w] for w in _answer(t, x, by_word) if w in place} for t, x in zip(texts[part], words[part])]
-        out.append(Index(vocabulary, weight.astype(np.float32), float(np.log(n + 1)), project.astype(np.float32), latent, list(ids[part]), [[place[w] for w in x] for x in words[part]], answers))
+        hi = min(lo + ITEMS_PER_PASS, len(ids))
+        counted = pa.array(sorted({w for x in words[lo:hi] for w in x}), pa.large_string())
+        n, df = frequencies(docs, counted, text_col)
+        by_word = dict(zip(counted.to_pylist(), np.where(df > MAX_DF * (n + FEW), 0.0, np.log((n + 1) / np.maximum(df, 1))).tolist()))
+        for first in range(lo, hi, RANK):
+            part = slice(first, min(first + RANK, hi))
+            out.append(_index(spark, n, by_word, ids[part], texts[part], words[part]))
     return out
 
 

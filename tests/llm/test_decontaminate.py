@@ -112,3 +112,20 @@ def test_item_of_stop_words_is_found_as_a_run(spark, docs):
     indexes = D.build(spark, table, bench(spark, [(1, item)]))
     assert not indexes[0].weight.any()
     assert {r["doc_id"] for r in D.findings(table, indexes).collect()} == set(range(80))
+
+
+def test_recall_of_a_thousand_items(spark, docs):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"t{rng.randrange(20_000)}" for _ in range(rng.randint(15, 57)))) for k in range(1100)]
+    rows, truth = [], {"verbatim": set(), "changed": set()}
+    for d in range(400):
+        words, k = prose(rng, rng.randint(60, 300)).split(), rng.randrange(1100)
+        item = [rng.choice(WORDS) if d % 2 and rng.random() < 0.1 else w for w in items[k][1].split()]
+        at = rng.randrange(len(words))
+        words[at:at] = item
+        truth["changed" if d % 2 else "verbatim"].add((d, k))
+        rows.append((d, " ".join(words)))
+    table = docs(rows)
+    got = {(r["doc_id"], r["item_id"]) for r in D.findings(table, D.build(spark, table, bench(spark, items))).collect()}
+    assert truth["verbatim"] <= got and len(truth["changed"] & got) >= 0.97 * len(truth["changed"])
+    assert got <= truth["verbatim"] | truth["changed"]
