@@ -3,12 +3,16 @@
 1. Document frequencies of the benchmark's words are counted over the whole corpus.
    Words in more than `MAX_DF` of the documents (of which `FEW` are added, so that a
    corpus of a few documents has no stop words) are stop words; the others weigh as
-   log(documents / frequency), words outside the benchmark as if one document had them.
-2. The TF-IDF matrix of the benchmark's passages is reduced by randomised SVD (range
+   log(documents / frequency).
+2. Items are cut into pieces of up to half a window, so that each stands whole in some
+   window of a text that holds it.  The TF-IDF matrix of the pieces is reduced by randomised SVD (range
    finder with power iterations, each product a distributed sum over the passages).
 3. Every document is cut into windows of `WINDOW` words, each overlapping the next by
-   half.  A window's latent vector is compared with each item's by cosine; above
-   `MIN_COSINE` the pair is a candidate.
+   half.  In a window's latent vector each word counts by the inverse of its weight, so
+   that the product with a piece's is the share of the piece's words (without stop words)
+   that the window holds, whatever else stands there.  A pair is a candidate from the
+   share that is left if all that `MIN_LCS` lets go are different words of these (from `MIN_SHARE` at least, which acts on pieces of mostly stop words only), so neither
+   the number of documents nor that of copies hides an item.
 4. A candidate is accepted if the longest common subsequence of its words and the
    window's (with as many words as the item has on either side) holds `MIN_LCS` of the
    item, and the answer check passes: half of the item's answer words, which are those
@@ -16,8 +20,8 @@
    window (or the subsequence holds `SURE_LCS` of the item).
 
 The words of `ITEMS_PER_PASS` items at a time are counted in one reading of the corpus.
-At most `RANK` of these items share a projection, so that its rank is their number and
-no part of an item is lost in it, however large the benchmark.  The corpus is read, never shuffled: only counts and the findings move.
+Items of at most `RANK` pieces (or one longer item) share a projection, so that its rank
+is the pieces' number and no part is lost in it, however large the benchmark.  The corpus is read, never shuffled: only counts and the findings move.
 
 Defined results: null and empty texts and items have no findings; items of fewer than
 `MIN_WORDS` words, which any text may hold by chance, and items that consist of stop
@@ -28,6 +32,7 @@ columns are untouched.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -40,7 +45,7 @@ from pyspark.sql import functions as F
 from geolattice.llm._store import documents
 from geolattice.llm._text import slices, texts_of, words_of
 
-WINDOW, MIN_COSINE, MIN_LCS, SURE_LCS, MAX_DF, FEW = 64, 0.2, 0.6, 0.8, 0.2, 20
+WINDOW, MIN_SHARE, MIN_LCS, SURE_LCS, MAX_DF, FEW = 64, 0.2, 0.6, 0.8, 0.2, 20
 RANK, OVERSAMPLE, POWER, ITEMS_PER_PASS, MIN_WORDS = 256, 16, 2, 4096, 6
 
 
@@ -50,9 +55,10 @@ class Index:
 
     vocabulary: pa.Array
     weight: np.ndarray  # of each word; 0 for stop words
-    outside: float  # weight of a word the benchmark doesn't have
-    project: np.ndarray  # words x rank
-    items: np.ndarray  # items x rank, of length 1 in the full space
+    project: np.ndarray  # words x rank, over the weights; 0 for stop words
+    pieces: np.ndarray  # pieces x rank; times the latent vector of all of a piece's words: 1
+    least: np.ndarray  # share of each piece that makes a candidate
+    item: np.ndarray  # of each piece
     ids: list
     words: list[list[int]]
     answers: list[set[int]]
@@ -130,22 +136,36 @@ def _answer(text: str, words: list[str], weight: dict[str, float]) -> set[str]:
     return named or set(sorted(set(words), key=lambda w: (-weight.get(w, 0.0), w))[:3])
 
 
-def _index(spark: SparkSession, n: int, by_word: dict[str, float], ids: tuple, texts: tuple, words: tuple) -> Index:
-    """The index of up to `RANK` items, by the weights of their words in a corpus of n documents."""
+def _pieces(words: list[str]) -> list[list[str]]:
+    """The words in runs of up to half a window, about equally long."""
+    k = -(-len(words) // (WINDOW // 2))
+    return [words[len(words) * j // k : len(words) * (j + 1) // k] for j in range(k)]
+
+
+def _index(spark: SparkSession, by_word: dict[str, float], ids: tuple, texts: tuple, words: tuple) -> Index:
+    """The index of items that share a projection, by the weights of their words."""
     vocabulary = sorted({w for x in words for w in x})
     weight = np.array([by_word[w] for w in vocabulary])
     place = {w: k for k, w in enumerate(vocabulary)}
-    sparse = []
-    for item in words:
-        at, count = np.unique([place[w] for w in item], return_counts=True)
-        x = count * weight[at]
-        if not x.any():  # nothing but stop words: all of them count
-            x = count.astype(float)
-        sparse.append((at.tolist(), (x / np.linalg.norm(x)).tolist()))
-    project = randomised_svd(spark, sparse, len(vocabulary), len(sparse))
-    latent = np.stack([np.asarray(x) @ project[at] for at, x in sparse]).astype(np.float32)
+    sparse, scale, least, owner = [], [], [], []
+    for k, item in enumerate(words):
+        for piece in _pieces(item):
+            every = [place[w] for w in piece]
+            at = np.unique(every)
+            x = weight[at]  # repeated words count once, in items and windows
+            if not x.any():  # nothing but stop words
+                continue
+            size = np.linalg.norm(x)
+            sparse.append((at.tolist(), (x / size).tolist()))
+            lost = len(every) - math.ceil(MIN_LCS * len(every) - 1e-9)
+            scale.append(size / (x > 0).sum())
+            least.append(max(MIN_SHARE, 1 - lost / (x > 0).sum()))
+            owner.append(k)
+    project = randomised_svd(spark, sparse, len(vocabulary), len(sparse)) if sparse else np.zeros((len(vocabulary), 0))
+    latent = np.array([np.asarray(x) @ project[at] * y for (at, x), y in zip(sparse, scale)], np.float32).reshape(len(sparse), project.shape[1])
+    inverse = np.divide(1.0, weight, out=np.zeros(len(weight)), where=weight > 0)
     answers = [{place[w] for w in _answer(t, x, by_word) if w in place} for t, x in zip(texts, words)]
-    return Index(pa.array(vocabulary, pa.large_string()), weight.astype(np.float32), float(np.log(n + 1)), project.astype(np.float32), latent, list(ids), [[place[w] for w in x] for x in words], answers)
+    return Index(pa.array(vocabulary, pa.large_string()), weight.astype(np.float32), (project * inverse[:, None]).astype(np.float32), latent, np.array(least, np.float32) * np.float32(0.999), np.array(owner, np.int64), list(ids), [[place[w] for w in x] for x in words], answers)
 
 
 def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> list[Index]:
@@ -159,9 +179,13 @@ def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col:
         counted = pa.array(sorted({w for x in words[lo:hi] for w in x}), pa.large_string())
         n, df = frequencies(docs, counted, text_col)
         by_word = dict(zip(counted.to_pylist(), np.where(df > MAX_DF * (n + FEW), 0.0, np.log((n + 1) / np.maximum(df, 1))).tolist()))
-        for first in range(lo, hi, RANK):
-            part = slice(first, min(first + RANK, hi))
-            out.append(_index(spark, n, by_word, ids[part], texts[part], words[part]))
+        first, held = lo, 0
+        for k in range(lo, hi):
+            held += len(_pieces(words[k]))
+            if k + 1 == hi or held + len(_pieces(words[k + 1])) > RANK:
+                part = slice(first, k + 1)
+                out.append(_index(spark, by_word, ids[part], texts[part], words[part]))
+                first, held = k + 1, 0
     return out
 
 
@@ -190,7 +214,6 @@ def matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], float]:
     half = WINDOW // 2
     runs = [k for k, w in enumerate(index.words) if len(w) < MIN_WORDS or not index.weight[w].any()]
     stops = np.append(index.weight == 0, False)
-    weight = np.append(index.weight, np.float32(index.outside))
     for start, stop in slices(texts, 1_500_000):
         flat, offsets = words_of(texts.slice(start, stop - start))
         if not len(flat):
@@ -201,17 +224,17 @@ def matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], float]:
         first = np.concatenate([[0], np.cumsum(blocks)])
         owner = np.repeat(np.arange(len(size)), blocks)
         begin = offsets[owner] + (np.arange(first[-1]) - first[owner]) * half  # half windows; a window is one and the next of its text
-        norm = np.add.reduceat(weight[ids] ** 2, begin)
         at = np.flatnonzero((ids < len(index.vocabulary)) & ~stops[ids])
         mine = np.searchsorted(begin, at, side="right") - 1
+        at = at[np.sort(np.unique(mine * len(stops) + ids[at], return_index=True)[1])]  # each word once a half window
+        mine = np.searchsorted(begin, at, side="right") - 1
         last = np.append(owner[1:] != owner[:-1], True)
         busy, cut = np.unique(mine, return_index=True)
         sums = np.zeros((len(busy) + 1, index.project.shape[1]), np.float32)
         for lo in range(0, len(busy), 50_000):
             hi = min(lo + 50_000, len(busy))
             rows = slice(cut[lo], cut[hi] if hi < len(busy) else len(at))
-            vec = index.project[ids[at[rows]]] * weight[ids[at[rows]]][:, None]
-            sums[lo:hi] = np.add.reduceat(vec, cut[lo:hi] - cut[lo], axis=0)
+            sums[lo:hi] = np.add.reduceat(index.project[ids[at[rows]]], cut[lo:hi] - cut[lo], axis=0)
         slot = np.full(first[-1] + 1, len(busy), np.int64)
         slot[busy] = np.arange(len(busy))
         # Windows that hold any of the benchmark's words; the last half window of a text is a window only if it is its first.
@@ -220,20 +243,19 @@ def matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], float]:
         second = np.where(last[window], first[-1], window + 1)
         some = (slot[window] < len(busy)) | (slot[second] < len(busy))
         window, second = window[some], second[some]
-        norm = np.append(norm, np.float32(0))
         for lo in range(0, len(window), 20_000):
             a, b = window[lo : lo + 20_000], second[lo : lo + 20_000]
-            cosine = (sums[slot[a]] + sums[slot[b]]) @ index.items.T / np.maximum(np.sqrt(norm[a] + norm[b]), 1e-6)[:, None]
-            for w, k in zip(*np.nonzero(cosine >= MIN_COSINE)):
+            near, piece = np.nonzero((sums[slot[a]] + sums[slot[b]]) @ index.pieces.T >= index.least)
+            for w, k in np.unique(np.stack([near, index.item[piece]], axis=1), axis=0).tolist():
                 doc = owner[a[w]]
                 item = index.words[k]
-                if len(item) < MIN_WORDS or found.get((start + doc, int(k)), 0) == 1:
+                if len(item) < MIN_WORDS or found.get((start + int(doc), k), 0) == 1:
                     continue
                 lo_w, hi_w = max(offsets[doc], begin[a[w]] - len(item)), min(offsets[doc + 1], begin[a[w]] + WINDOW + len(item))
                 held, answered = common(item, ids[lo_w:hi_w].tolist(), index.answers[k])
                 share, needed = held / len(item), len(index.answers[k])
                 if share >= MIN_LCS and (2 * answered >= needed or share >= SURE_LCS):
-                    key = (start + int(doc), int(k))
+                    key = (start + int(doc), k)
                     found[key] = max(found.get(key, 0.0), share)
         for k in runs:
             item = np.asarray(index.words[k])

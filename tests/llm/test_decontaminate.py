@@ -129,3 +129,32 @@ def test_recall_of_a_thousand_items(spark, docs):
     got = {(r["doc_id"], r["item_id"]) for r in D.findings(table, D.build(spark, table, bench(spark, items))).collect()}
     assert truth["verbatim"] <= got and len(truth["changed"] & got) >= 0.97 * len(truth["changed"])
     assert got <= truth["verbatim"] | truth["changed"]
+
+
+def test_items_that_many_documents_hold_and_a_long_one(spark, docs):
+    rng = random.Random(13)
+    items = [(0, " ".join(f"s{rng.randrange(10**6)}" for _ in range(8))), (1, " ".join(f"l{rng.randrange(10**6)}" for _ in range(2000)))]
+    items += [(k, " ".join(f"o{rng.randrange(400)}" for _ in range(30))) for k in range(2, 60)]
+    rows = []
+    for d in range(400):
+        words = [f"o{rng.randrange(400)}" if rng.random() < 0.3 else f"u{d}x{j}" for j in range(200)]
+        if d % 12 == 0:
+            words[(at := rng.randrange(200)) : at] = items[0][1].split()
+        if d in (5, 6):
+            words[90:90] = items[1][1].split() if d == 5 else [w for w in items[1][1].split() if rng.random() < 0.9]
+        rows.append((d, " ".join(words)))
+    table = docs(rows)
+    got = {(r["doc_id"], r["item_id"]) for r in D.findings(table, D.build(spark, table, bench(spark, items))).collect()}
+    assert got == {(d, 0) for d in range(0, 400, 12)} | {(5, 1), (6, 1)}
+
+
+def test_candidates_do_not_depend_on_the_number_of_documents(spark):
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    item = prose(rng, 12)
+    text = " ".join(f"u{j}" for j in range(100)) + " " + item + " " + " ".join(f"v{j}" for j in range(100))
+    for n in (10**4, 10**12):
+        df = {w: n // 10 for w in item.split()}
+        index = D._index(spark, {w: float(np.log((n + 1) / x)) for w, x in df.items()}, (7,), (item,), (item.split(),))
+        assert D.matches(index, pa.array([text], pa.large_string())) == {(0, 0): 1.0}
