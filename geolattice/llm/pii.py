@@ -8,7 +8,8 @@ addresses, telephone numbers, IPv4 addresses, payment cards (Luhn), US social se
 numbers and IBANs (mod 97) are detected in the result and their spans mapped back.
 
 Plan: one map over Arrow batches, no shuffle.  A linear-time expression first tells the
-texts that hold any sign an identifier needs; all others are done with.
+texts that hold any sign an identifier needs, as they are or without look-alikes,
+invisible characters and wide blanks; all others are done with.
 
 Defined results: null and empty texts hold nothing; offsets count code points; spans of
 one text don't overlap, the earlier (then longer) one holds; repeated rows are reported
@@ -37,6 +38,7 @@ for _a in (0x1D400, 0x1D434, 0x1D468, 0x1D5A0, 0x1D5D4, 0x1D608, 0x1D63C, 0x1D67
     _LOOKS |= {chr(_a + k): chr(65 + k) for k in range(26)} | {chr(_a + 26 + k): chr(97 + k) for k in range(26)}
 _LOOKS |= {"．": ".", "。": ".", "․": ".", "﹫": "@"} | {chr(c): "-" for c in range(0x2010, 0x2016)} | {chr(c): " " for c in (0xA0, 0x2007, 0x202F, *range(0x2000, 0x2007))}
 _INVISIBLE = "​‌‍⁠﻿­"
+_LOOKS |= dict(zip("ıİſ\u212a", "iIsK"))  # equal to i, s and k where case doesn't count
 _TABLE = str.maketrans(_LOOKS)
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 
@@ -58,13 +60,18 @@ _DISGUISED = re.compile(
 )
 _AT_ANY, _DOT_ANY = re.compile(rf"(?i){_AT_HARD}|\s*@\s*|\s+{_AT_WORD}\s+"), re.compile(rf"(?i){_DOT_HARD}")
 
-#: Any text that holds an identifier, disguised or not, matches this (RE2 syntax).
+#: Any text that holds an identifier, disguised or not, matches this once `plain` (RE2 syntax).
 TRIGGER = (
-    r"(?i)[0-9@\x{FF20}\x{FE6B}\x{0660}-\x{0669}\x{06F0}-\x{06F9}\x{0966}-\x{096F}\x{FF10}-\x{FF19}\x{1D7CE}-\x{1D7FF}]"
-    rf"|[\[({{<_-]\s*{_AT_WORD}\s*[\])}}>_-]|\s{_AT_WORD}\s[^\n]*{_DOT_WORD}"
+    r"(?i)[\p{Nd}@\x{FF20}\x{FE6B}]"
+    rf"|[\[({{<_-]\s*{_AT_WORD}\s*[\])}}>_-]|\s{_AT_WORD}\s+[A-Za-z0-9+%_.-]+(?:{_DOT_HARD})"
     rf"|(?:(?:{_WORDS})[\s().,-]{{1,3}}){{6}}"
 )
 
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r\f")
+#: A text without these characters is plain as it is.
+_STRANGE = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in sorted({*_LOOKS, *_INVISIBLE, *_BLANKS})) + "]"
+_PLAIN = str.maketrans(_LOOKS | dict.fromkeys(_INVISIBLE, "") | dict.fromkeys((c for c in _BLANKS if c not in _LOOKS), " "))
+
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
 _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -186,6 +193,16 @@ def identifiers(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def suspects(texts: pa.Array) -> np.ndarray:
+    """Rows of the texts that may hold an identifier; all others hold none."""
+    hit = pc.match_substring_regex(texts, TRIGGER).to_numpy(zero_copy_only=False)
+    rest = np.flatnonzero(~hit)
+    strange = rest[pc.match_substring_regex(texts.take(pa.array(rest)), _STRANGE).to_numpy(zero_copy_only=False)]
+    plain = pa.array([x.translate(_PLAIN) for x in texts.take(pa.array(strange)).to_pylist()], pa.large_string())
+    again = pc.match_substring_regex(plain, TRIGGER).to_numpy(zero_copy_only=False).astype(bool)
+    return np.sort(np.concatenate([np.flatnonzero(hit), strange[again]]))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, end, kind, value, disguised of every identifier; text[start:end] is its source."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -193,7 +210,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches):
         for b in batches:
             texts = texts_of(b.column(1))
-            some = np.flatnonzero(pc.match_substring_regex(texts, TRIGGER).to_numpy(zero_copy_only=False))
+            some = suspects(texts)
             rows, starts, ends, kinds, values, hidden = [], [], [], [], [], []
             for row, text in zip(some.tolist(), texts.take(pa.array(some)).to_pylist()):
                 for a, z, k, v in identifiers(text):

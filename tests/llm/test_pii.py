@@ -55,3 +55,14 @@ def test_table(spark, odd, docs):
     rows = docs([(1, long), (2, "x@y.org"), (2, "x@y.org"), (None, "9.9.9.9"), (3, "x [at] y [dot] org")])
     got = sorted((str(r["doc_id"]), r["start"], r["kind"], r["value"], r["disguised"]) for r in pii.find(rows).collect())
     assert got == [("1", 1_000_000, "email", "a@b.com", False), ("2", 0, "email", "x@y.org", False), ("2", 0, "email", "x@y.org", False), ("3", 0, "email", "x@y.org", True), ("None", 0, "ip", "9.9.9.9", False)]
+
+
+def test_find_sees_what_identifiers_sees(spark, docs):
+    """Disguises that only show once look-alikes, invisible characters and wide blanks are gone."""
+    want = ["jane [\u0430t] example [dot] com", "jane at example d\u043et com", "jane (a\u200bt) example (dot) com", "jane [\uff41\uff54] example [\uff44\uff4f\uff54] com", "jane\u00a0at\u00a0example\u00a0dot\u00a0com", "jane at example [.] com", "jane at example\ndot com", "jane\u3000at\u3000example dot com"]
+    want += ["f\u0456ve f\u0456ve five zero one two three four", "five\u00a0five\u00a0five\u00a0zero\u00a0one\u00a0two\u00a0three", "f\u0131ve five five zero one two \u017feven"]
+    want += ["\u09e7\u09e8\u09e9-\u09ea\u09eb\u09ec-\u09ed\u09ee\u09ef\u09e6"]
+    assert all(pii.identifiers(t) for t in want)
+    plain = ["caf\u00e9 \u2013 at the end\u00a0of it", "meet at the end of the road"]
+    got = {r["doc_id"] for r in pii.find(docs(list(enumerate(want + plain)))).collect()}
+    assert got == set(range(len(want)))
