@@ -44,6 +44,8 @@ MAX_BITS, WORD_BITS, RADIUS = 52, 14, 7
 #: Fingerprints that an index task holds, about.
 INDEX_ROWS = 250_000
 FAN = 8
+#: With two substrings about half of the pairs that differ in `MAX_BITS` bits would not meet.
+LEAST_PARTS = 3
 _SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 
 
@@ -180,7 +182,9 @@ def shape(n: int, radius: int = RADIUS) -> tuple[int, int]:
     Fewer, longer substrings have fewer fingerprints in common but must be searched with
     more bits flipped, which sends each fingerprint to more shares.  The cheapest number
     is taken, by what a shuffled copy, a looked-up substring and a compared fingerprint
-    cost (in units of about ten nanoseconds); any number finds all within radius.
+    cost (in units of about ten nanoseconds).  Any number finds all within radius in one
+    word; of pairs further apart some are met by chance, fewer with fewer substrings, so
+    that `LEAST_PARTS` are taken at least.
     """
 
     def cost(m: int) -> float:
@@ -189,7 +193,7 @@ def shape(n: int, radius: int = RADIUS) -> tuple[int, int]:
         looked = sum(math.comb(width, f) for f in range(flips + 1))
         return 4 * m * (48 * sent + 15 * looked + looked * n / 2**width)
 
-    m = min(range(2, 9), key=cost)
+    m = min(range(LEAST_PARTS, 9), key=cost)
     return m, radius // m
 
 

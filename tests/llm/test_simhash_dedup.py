@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from geolattice.llm import simhash_dedup as S
 from geolattice.llm._text import texts_of
@@ -93,3 +94,22 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8, 10**10])
+def test_recall_with_the_substrings_of_large_tables(spark, monkeypatch, n):
+    """Pairs that differ in MAX_BITS and a few bits less, searched as n fingerprints would be."""
+    rng = np.random.default_rng(4)
+    pairs = 1500
+    bits = rng.integers(0, 2, (2 * pairs, 256), np.uint8)
+    for k in range(pairs):
+        bits[pairs + k] = bits[k]
+        bits[pairs + k, rng.choice(256, S.MAX_BITS - k % 9, replace=False)] ^= 1
+    fp = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    chosen = S.shape(n)
+    monkeypatch.setattr(S, "shape", lambda *_: chosen)
+    table = spark.createDataFrame([(k, *row) for k, row in enumerate(fp.tolist())], "id long, w0 long, w1 long, w2 long, w3 long")
+    got = {(min(r), max(r)) for r in S.links(table, 2 * pairs).collect()}
+    met = np.array([(k, pairs + k) in got for k in range(pairs)])
+    print(chosen, "all", met.mean(), "outermost", met[::9].mean())
+    assert met.mean() >= 0.9
