@@ -11,19 +11,22 @@ from geolattice.llm._store import keep
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """id, root for each end of `edges` (columns a, b: longs); root is the least id of its component.
 
-    Each round writes the edges to the shared folder, so lineage doesn't grow; rounds grow
+    Edges with a null end are left out; repeated ones count once.  No group is gathered in
+    a row: each end's least neighbour is an aggregate, joined back to the edges, and that
+    join is split where one end has very many.  Each round writes the edges to the shared folder, so lineage doesn't grow; rounds grow
     with the logarithm of the longest path.
     """
-    now = keep(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
+    now = keep(edges.dropna(subset=["a", "b"]).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "edges")
     before = None
     for _ in range(most):
         # Large star: every neighbour above u moves to u's least neighbour (or u).
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs")).withColumn("m", F.least("u", "m"))
-        large = near.select("u", "m", F.explode("vs").alias("v")).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
         # Small star: every neighbour below u, and u, move to the least of them.
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.collect_set("lo").alias("vs"))
-        small = low.select("m", F.explode(F.array_union("vs", F.array("hi"))).alias("v")).filter("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = keep(large, "edges")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
         now = keep(small, "edges")
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first()
         if state == before:

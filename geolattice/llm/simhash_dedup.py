@@ -5,19 +5,25 @@ words' hashed +-1 vectors; a word weighs as its length less 3 (0 to 8), since th
 words of a language are those that all its texts share.  Two documents are near copies
 if their fingerprints differ in at most `MAX_BITS` bits.
 
-Candidates come from the four 64-bit words of the fingerprint.  A word is cut into m
-substrings; two words that differ in up to `RADIUS` bits agree in one of them but for
-`flips` bits (pigeonhole), so each fingerprint is sent to the index of its own substring
-and searches those of the substrings within `flips` bits.  In each index the
-fingerprints of one substring are sorted by Gray rank, in which neighbours share long
-bit patterns, and put under a tree of eight-way nodes: a node holds the bits that all
-below it share, as mask and pattern, less those its parent holds.  A search carries the
-bits that differ so far and drops a node, with all below it, once they exceed
-`WORD_BITS`.  Nothing is cut off: each fingerprint searches, however many partners it
-has, and what comes out is a forest of links, not all pairs.
+Candidates come from the four 64-bit words of the fingerprint, each cut into `PARTS`
+substrings: a pair is compared if in one substring it differs in at most `FLIPS` bits,
+and in the whole word in at most `WORD_BITS`.  That is part of what a near copy is here,
+at any number of documents: all pairs within PARTS * 4 * (FLIPS + 1) - 1 = 31 bits meet
+it (but for words more than WORD_BITS apart), and of those at exactly 52 bits about nine
+in ten.  The number of documents decides only how many tasks share an index.
+
+Each fingerprint is sent to the index of each of its substrings and searches those of
+the substrings within `FLIPS` bits.  In each index the fingerprints of one substring are
+sorted by Gray rank, in which neighbours share long bit patterns, and put under a tree
+of eight-way nodes: a node holds the bits that all below it share, as mask and pattern,
+less those its parent holds.  A search carries the bits that differ so far and drops a
+node, with all below it, once they exceed `WORD_BITS`.  Nothing is cut off: each
+fingerprint searches, however many partners it has, and what comes out is a forest of
+links, not all pairs.
 
 Equal fingerprints are one from the start.  Links are joined to groups by distributed
-connected components, and the least id of each group stays.
+connected components, and the least id of each group stays.  Inside, a fingerprint goes
+by a number of its own, so ids may be of any type that has an order.
 
 Defined results: null, empty and wordless texts, and null ids, never have copies and
 stay; the rows of one id count as one document and share its fate (its fingerprint is
@@ -40,12 +46,10 @@ from geolattice.llm._store import documents, fresh, keep
 from geolattice.llm._text import encoded, hash_words, reduce_rows, slices, texts_of, words_of
 from geolattice.llm.components import components
 
-MAX_BITS, WORD_BITS, RADIUS = 52, 14, 7
+MAX_BITS, WORD_BITS, PARTS, FLIPS = 52, 14, 4, 1
 #: Fingerprints that an index task holds, about.
 INDEX_ROWS = 250_000
 FAN = 8
-#: With two substrings about half of the pairs that differ in `MAX_BITS` bits would not meet.
-LEAST_PARTS = 3
 _SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 
 
@@ -92,6 +96,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, w0..w3 of each document that has an id and words; one row an id."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -99,7 +104,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             some = np.flatnonzero(size)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *(pa.array(fp[some, k].view(np.int64)) for k in range(4))], names=["id", "w0", "w1", "w2", "w3"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null").mapInArrow(run, "id long, w0 long, w1 long, w2 long, w3 long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null").mapInArrow(run, f"id {kind}, w0 long, w1 long, w2 long, w3 long")
     return rows.groupBy("id").agg(F.min(F.struct("w0", "w1", "w2", "w3")).alias("w")).select("id", "w.*")
 
 
@@ -176,27 +181,6 @@ def _link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = labels[a], labels[b]
 
 
-def shape(n: int, radius: int = RADIUS) -> tuple[int, int]:
-    """Substrings of a 64-bit word for n fingerprints, and bits to flip in each.
-
-    Fewer, longer substrings have fewer fingerprints in common but must be searched with
-    more bits flipped, which sends each fingerprint to more shares.  The cheapest number
-    is taken, by what a shuffled copy, a looked-up substring and a compared fingerprint
-    cost (in units of about ten nanoseconds).  Any number finds all within radius in one
-    word; of pairs further apart some are met by chance, fewer with fewer substrings, so
-    that `LEAST_PARTS` are taken at least.
-    """
-
-    def cost(m: int) -> float:
-        width, flips = 64 // m, radius // m
-        sent = sum(math.comb(share_bits(n, width), f) for f in range(flips + 1))
-        looked = sum(math.comb(width, f) for f in range(flips + 1))
-        return 4 * m * (48 * sent + 15 * looked + looked * n / 2**width)
-
-    m = min(range(LEAST_PARTS, 9), key=cost)
-    return m, radius // m
-
-
 def share_bits(n: int, width: int, index_rows: int = INDEX_ROWS) -> int:
     """Leading bits of a substring that share out its index: four shares at least."""
     return min(width - 2, max(2, math.ceil(math.log2(max(1, n / index_rows)))))
@@ -208,10 +192,9 @@ def cuts(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, word_bits: int = WORD_BITS, radius: int = RADIUS, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """a, b: links that join all near copies found among n distinct fingerprints (id, w0..w3)."""
-    m, flips = shape(n, radius)
-    parts = cuts(m)
+def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, word_bits: int = WORD_BITS, parts: int = PARTS, flips: int = FLIPS, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """a, b: links that join all near copies among n distinct fingerprints (id: a long, w0..w3)."""
+    m, parts = parts, cuts(parts)
     high = share_bits(n, min(w for _, w in parts), index_rows)
     reach = [sum(1 << k for k in c) for f in range(min(flips, high) + 1) for c in combinations(range(high), f)]
     places = [(word, part) for word in range(4) for part in range(m)]
@@ -260,19 +243,21 @@ def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, word_bits: int =
 def copies(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:
     """id, root of every document that is a near copy of one with a lower id; root is its group's least id."""
     prints = keep(fingerprint_table(docs, id_col, text_col), "prints")
-    distinct = keep(prints.groupBy("w0", "w1", "w2", "w3").agg(F.min("id").alias("id")), "distinct")
-    n = distinct.count()
-    groups = components(links(distinct, n, max_bits, **search))
-    first = prints.join(distinct.withColumnRenamed("id", "first"), ["w0", "w1", "w2", "w3"]).select("id", "first")
-    found = first.join(groups.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("root", "first").alias("root"))
-    return found.filter("id <> root")
+    words = ["w0", "w1", "w2", "w3"]
+    distinct = keep(prints.groupBy(*words).agg(F.min("id").alias("first")).withColumn("number", F.monotonically_increasing_id()), "distinct")
+    numbered = distinct.select(F.col("number").alias("id"), *words)
+    groups = keep(components(links(numbered, distinct.count(), max_bits, **search)).withColumnRenamed("id", "number"), "groups")
+    mine = distinct.join(groups, "number", "left").withColumn("root", F.coalesce("root", "number"))
+    least = mine.groupBy("root").agg(F.min("first").alias("least"))
+    roots = mine.join(least, "root").select(*words, "least")
+    return prints.join(roots, words).select("id", F.col("least").alias("root")).filter("id <> root")
 
 
 def drop_copies(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, the one of least id."""
     gone = keep(copies(docs, max_bits, id_col, text_col).select("id"), "copies")
     name = fresh(docs.columns, "gone")[0]
-    return docs.join(gone.toDF(name), F.col(id_col).cast("long") == F.col(name), "left_anti")
+    return docs.join(gone.toDF(name), F.col(id_col) == F.col(name), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,15 +46,56 @@ def test_tree_finds_all_and_only_near_words():
     assert got == set(zip(*(x.tolist() for x in np.nonzero(d <= 9))))
 
 
-def test_groups_against_brute_force(spark, docs):
-    texts = corpus(3)
+def near(fp):
+    """All pairs that are near copies by definition, one by one."""
+    apart = fp[:, None] ^ fp[None]
+    words = np.bitwise_count(apart)
+    parts = np.bitwise_count(apart.view(np.uint16).reshape(len(fp), len(fp), 4, 4)).min(3)
+    meets = ((parts <= S.FLIPS) & (words <= S.WORD_BITS)).any(2)
+    return np.nonzero(np.triu(meets & (words.sum(2) <= S.MAX_BITS), 1))
+
+
+def groups_of(fp):
+    return S._link(np.arange(len(fp)), *near(fp))
+
+
+@pytest.mark.parametrize("index_rows", [S.INDEX_ROWS, 50, 3])
+def test_groups_against_brute_force(spark, docs, index_rows):
+    """The same, complete groups however many tasks share an index."""
+    texts = corpus(3) + ["other words " * 3, "other words " * 4]
     fp, _ = S.fingerprints(texts_of(pa.array(texts, pa.large_string())))
-    a, b = pairs_within(fp, S.MAX_BITS)
-    labels = S._link(np.arange(len(texts)), a, b)
-    got = {r["id"]: r["root"] for r in S.copies(docs(list(enumerate(texts)))).collect()}
-    joined = sum(got.get(x, x) == got.get(y, y) for x, y in zip(a.tolist(), b.tolist()))
-    assert joined >= 0.95 * len(a) > 40
-    assert all(labels[i] == labels[r] for i, r in got.items())
+    want = {k: r for k, r in enumerate(groups_of(fp).tolist()) if k != r}
+    got = {r["id"]: r["root"] for r in S.copies(docs(list(enumerate(texts))), index_rows=index_rows).collect()}
+    assert got == want and len(want) > 40
+
+
+@pytest.mark.parametrize(("n", "index_rows"), [(3000, S.INDEX_ROWS), (10**6, S.INDEX_ROWS), (10**10, S.INDEX_ROWS)])
+def test_links_do_not_depend_on_the_number_of_documents(spark, n, index_rows):
+    """Pairs at every distance up to MAX_BITS, searched as n fingerprints would be: all that are near by definition, nine in ten of all."""
+    rng = np.random.default_rng(4)
+    pairs = 1500
+    bits = rng.integers(0, 2, (2 * pairs, 256), np.uint8)
+    for k in range(pairs):
+        bits[pairs + k] = bits[k]
+        bits[pairs + k, rng.choice(256, S.MAX_BITS - k % 20, replace=False)] ^= 1
+    fp = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    table = spark.createDataFrame([(k, *row) for k, row in enumerate(fp.view(np.int64).tolist())], "id long, w0 long, w1 long, w2 long, w3 long").repartition(2)
+    got = {(min(r), max(r)) for r in S.links(table, n, index_rows=index_rows).collect()}
+    a, b = near(fp)
+    assert got == set(zip(a.tolist(), b.tolist()))
+    assert np.mean([(k, pairs + k) in got for k in range(pairs)]) >= 0.9
+    assert np.mean([(k, pairs + k) in got for k in range(0, pairs, 20)]) >= 0.85
+
+
+def test_ids_of_any_type(spark, docs):
+    from pyspark.sql import functions as F
+
+    texts = corpus(6)
+    plain = docs(list(enumerate(texts)))
+    named = plain.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 5, "0")))
+    want = {(f"d{r['id']:05}", f"d{r['root']:05}") for r in S.copies(plain).collect()}
+    assert {tuple(r) for r in S.copies(named).collect()} == want and want
+    assert S.drop_copies(named).count() == len(texts) - len(want)
 
 
 def test_recall_of_edited_copies_and_rest_is_left(spark, docs):
@@ -94,22 +135,7 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-@pytest.mark.parametrize("n", [10**4, 10**6, 10**8, 10**10])
-def test_recall_with_the_substrings_of_large_tables(spark, monkeypatch, n):
-    """Pairs that differ in MAX_BITS and a few bits less, searched as n fingerprints would be."""
-    rng = np.random.default_rng(4)
-    pairs = 1500
-    bits = rng.integers(0, 2, (2 * pairs, 256), np.uint8)
-    for k in range(pairs):
-        bits[pairs + k] = bits[k]
-        bits[pairs + k, rng.choice(256, S.MAX_BITS - k % 9, replace=False)] ^= 1
-    fp = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-    chosen = S.shape(n)
-    monkeypatch.setattr(S, "shape", lambda *_: chosen)
-    table = spark.createDataFrame([(k, *row) for k, row in enumerate(fp.tolist())], "id long, w0 long, w1 long, w2 long, w3 long")
-    got = {(min(r), max(r)) for r in S.links(table, 2 * pairs).collect()}
-    met = np.array([(k, pairs + k) in got for k in range(pairs)])
-    print(chosen, "all", met.mean(), "outermost", met[::9].mean())
-    assert met.mean() >= 0.9
+    odd = [(None, 1), (1, None), (2, 2), (3, 2), (2, 3)]
+    assert {tuple(r) for r in components(spark.createDataFrame(odd, "a long, b long")).collect()} == {(3, 2), (2, 2)}
+    hub = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5100)]
+    assert {tuple(r) for r in components(spark.createDataFrame(hub, "a long, b long")).collect()} == {(k, 0) for k in range(3000)} | {(k, 5000) for k in range(5000, 5101)}
