@@ -6,9 +6,11 @@ nothing that was written, and the planner knows the size of what it reads.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +39,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value):
+    """A broadcast of value, pickled with its classes, so that workers need no copy of this package; the result, called there, gives it."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Column names that don't clash, whatever the case, with those taken."""
     low, out = {c.lower() for c in taken}, []

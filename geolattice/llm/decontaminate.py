@@ -26,8 +26,10 @@ is the pieces' number and no part is lost in it, however large the benchmark.  T
 Defined results: null and empty texts and items have no findings; items of fewer than
 `MIN_WORDS` words, which any text may hold by chance, and items that consist of stop
 words match only as a whole run of words; items with equal words are each found; repeated rows give equal findings once;
-null ids of documents are judged like others; an empty benchmark finds nothing; other
-columns are untouched.
+null ids of documents are judged like others, items without an id are left out; a share
+on exactly a threshold is enough; ids of either table may be of any type; an empty
+benchmark finds nothing, an empty table gives an empty one; texts and items are read
+whole, however long; other columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from geolattice.llm._store import documents
+from geolattice.llm._store import documents, shipped
 from geolattice.llm._text import slices, texts_of, words_of
 
 WINDOW, MIN_SHARE, MIN_LCS, SURE_LCS, MAX_DF, FEW = 64, 0.2, 0.6, 0.8, 0.2, 20
@@ -59,7 +62,7 @@ class Index:
     pieces: np.ndarray  # pieces x rank; times the latent vector of all of a piece's words: 1
     least: np.ndarray  # share of each piece that makes a candidate
     item: np.ndarray  # of each piece
-    ids: list
+    ids: pa.Array
     words: list[list[int]]
     answers: list[set[int]]
 
@@ -72,10 +75,11 @@ def _item_words(texts: pa.Array) -> list[list[str]]:
 
 def frequencies(docs: DataFrame, vocabulary: pa.Array, text_col: str = "text") -> tuple[int, np.ndarray]:
     """Documents, and how many hold each word."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = shipped(docs.sparkSession, vocabulary)
 
     def run(batches):
-        words, total, df = shared.value, 0, np.zeros(len(shared.value), np.int64)
+        words, total = shared(), 0
+        df = np.zeros(len(words), np.int64)
         for b in batches:
             texts = texts_of(b.column(0))
             total += len(texts)
@@ -142,7 +146,7 @@ def _pieces(words: list[str]) -> list[list[str]]:
     return [words[len(words) * j // k : len(words) * (j + 1) // k] for j in range(k)]
 
 
-def _index(spark: SparkSession, by_word: dict[str, float], ids: tuple, texts: tuple, words: tuple) -> Index:
+def _index(spark: SparkSession, by_word: dict[str, float], ids: pa.Array, texts: tuple, words: tuple) -> Index:
     """The index of items that share a projection, by the weights of their words."""
     vocabulary = sorted({w for x in words for w in x})
     weight = np.array([by_word[w] for w in vocabulary])
@@ -165,14 +169,15 @@ def _index(spark: SparkSession, by_word: dict[str, float], ids: tuple, texts: tu
     latent = np.array([np.asarray(x) @ project[at] * y for (at, x), y in zip(sparse, scale)], np.float32).reshape(len(sparse), project.shape[1])
     inverse = np.divide(1.0, weight, out=np.zeros(len(weight)), where=weight > 0)
     answers = [{place[w] for w in _answer(t, x, by_word) if w in place} for t, x in zip(texts, words)]
-    return Index(pa.array(vocabulary, pa.large_string()), weight.astype(np.float32), (project * inverse[:, None]).astype(np.float32), latent, np.array(least, np.float32) * np.float32(0.999), np.array(owner, np.int64), list(ids), [[place[w] for w in x] for x in words], answers)
+    return Index(pa.array(vocabulary, pa.large_string()), weight.astype(np.float32), (project * inverse[:, None]).astype(np.float32), latent, np.array(least, np.float32) * np.float32(0.999), np.array(owner, np.int64), ids, [[place[w] for w in x] for x in words], answers)
 
 
 def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> list[Index]:
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna().distinct().orderBy("i", "t").toArrow()
-    ids, texts = rows.column("i").to_pylist(), rows.column("t").to_pylist()
     words = _item_words(texts_of(rows.column("t")))
-    ids, texts, words = zip(*x) if (x := [r for r in zip(ids, texts, words) if r[2]]) else ((), (), ())
+    some = [k for k, x in enumerate(words) if x]
+    rows, words = rows.take(pa.array(some, pa.int64())), tuple(words[k] for k in some)
+    ids, texts = rows.column("i").combine_chunks(), rows.column("t").to_pylist()
     out = []
     for lo in range(0, len(ids), ITEMS_PER_PASS):
         hi = min(lo + ITEMS_PER_PASS, len(ids))
@@ -271,27 +276,30 @@ def matches(index: Index, texts: pa.Array) -> dict[tuple[int, int], float]:
 def findings(docs: DataFrame, indexes: list[Index], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, lcs: each document with each benchmark item that it holds."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in indexes]
+    item = from_arrow_type(indexes[0].ids.type).simpleString() if indexes else "bigint"
+    shared = [shipped(docs.sparkSession, x) for x in indexes]
 
     def run(batches):
+        parts = [x() for x in shared]
         for b in batches:
             texts = texts_of(b.column(1))
-            for part in shared:
-                rows = sorted(matches(part.value, texts).items())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for (r, _), _ in rows], pa.int64())), pa.array([part.value.ids[k] for (_, k), _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.float64())], names=[id_col, "item_id", "lcs"])
+            for part in parts:
+                rows = sorted(matches(part, texts).items())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for (r, _), _ in rows], pa.int64())), part.ids.take(pa.array([k for (_, k), _ in rows], pa.int64())), pa.array([x for _, x in rows], pa.float64())], names=[id_col, "item_id", "lcs"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, item_id long, lcs double").distinct()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, item_id {item}, lcs double").distinct()
 
 
 def drop_contaminated(docs: DataFrame, indexes: list[Index], text_col: str = "text") -> DataFrame:
     """docs without those that hold an item; all columns as they were, no shuffle."""
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in indexes]
+    shared = [shipped(docs.sparkSession, x) for x in indexes]
 
     def run(batches):
+        parts = [x() for x in shared]
         for b in batches:
             texts, clean = texts_of(b.column(b.schema.get_field_index(text_col))), np.ones(b.num_rows, bool)
-            for part in shared:
-                clean[[r for r, _ in matches(part.value, texts)]] = False
+            for part in parts:
+                clean[[r for r, _ in matches(part, texts)]] = False
             yield b.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from geolattice.llm import decontaminate as D
 
@@ -114,6 +115,58 @@ def test_item_of_stop_words_is_found_as_a_run(spark, docs):
     assert {r["doc_id"] for r in D.findings(table, indexes).collect()} == set(range(80))
 
 
+def test_ids_of_any_type(spark, docs):
+    from pyspark.sql import functions as F
+
+    items, rows, truth = planted(5)
+    table = docs(rows).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    named = bench(spark, items).withColumn("item_id", F.concat(F.lit("i"), F.col("item_id")))
+    got = {(r["doc_id"], r["item_id"]) for r in D.findings(table, D.build(spark, table, named)).collect()}
+    assert len(got & {(f"d{a}", f"i{b}") for a, b in truth}) >= 0.95 * len(truth) and len(got) <= len(truth)
+
+
+def accepted(item, needed, text):
+    """Whether some window of the text (with the item's length on either side) holds the item, without any search for candidates."""
+    for at in range(0, max(1, len(text)), D.WINDOW // 2):
+        part = text[max(0, at - len(item)) : at + D.WINDOW + len(item)]
+        share = lcs(item, part) / len(item)
+        if share >= D.MIN_LCS and (share >= D.SURE_LCS or 2 * len(needed & set(part)) >= len(needed)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("n", [200, 1500])
+def test_prose_against_brute_force(spark, docs, n):
+    """Items and documents of the same words, some frequent and most rare; copies with words changed, left out and put in."""
+    rng = random.Random(n)
+    vocabulary = [a + b for a in WORDS[:60] for b in WORDS[::4]]
+    rng.shuffle(vocabulary)
+    weights = [1 / (k + 3) for k in range(len(vocabulary))]
+    natural = lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
+    items = [(k, natural(rng.randint(12, 50))) for k in range(n)]
+    rows, made = [], []
+    for d in range(90):
+        words, k = natural(rng.randint(40, 150)).split(), rng.randrange(n)
+        rate = rng.choice([0, 0.1, 0.2, 0.3])
+        item = [x for w in items[k][1].split() for x in ([] if rng.random() < rate / 3 else [natural(1)] if rng.random() < rate / 3 else [w, natural(1)] if rng.random() < rate / 3 else [w])]
+        words[(at := rng.randrange(len(words))) : at] = item
+        rows.append((d, " ".join(words)))
+        made.append((d, k, rate))
+    table = docs(rows)
+    indexes = D.build(spark, table, bench(spark, items))
+    got = {(r["doc_id"], r["item_id"]) for r in D.findings(table, indexes).collect()}
+    answers = {}
+    for index in indexes:
+        for k, i in enumerate(index.ids.to_pylist()):
+            answers[i] = {index.vocabulary[w].as_py() for w in index.answers[k]}
+    assert {(d, k) for d, k, rate in made if rate == 0} <= got
+    want = {(d, k) for d, k, _ in made if accepted(items[k][1].split(), answers[k], rows[d][1].split())}
+    assert len(want & got) >= 0.97 * len(want) and len(want) > 70
+    some = rng.sample([(d, k) for d, k in got], min(len(got), 60)) + [(rng.randrange(90), rng.randrange(n)) for _ in range(60)]
+    for d, k in some:
+        assert ((d, k) in got) == accepted(items[k][1].split(), answers[k], rows[d][1].split()) or (d, k) in want
+
+
 def test_recall_of_a_thousand_items(spark, docs):
     rng = random.Random(12)
     items = [(k, " ".join(f"t{rng.randrange(20_000)}" for _ in range(rng.randint(15, 57)))) for k in range(1100)]
@@ -156,5 +209,5 @@ def test_candidates_do_not_depend_on_the_number_of_documents(spark):
     text = " ".join(f"u{j}" for j in range(100)) + " " + item + " " + " ".join(f"v{j}" for j in range(100))
     for n in (10**4, 10**12):
         df = {w: n // 10 for w in item.split()}
-        index = D._index(spark, {w: float(np.log((n + 1) / x)) for w, x in df.items()}, (7,), (item,), (item.split(),))
+        index = D._index(spark, {w: float(np.log((n + 1) / x)) for w, x in df.items()}, pa.array([7]), (item,), (item.split(),))
         assert D.matches(index, pa.array([text], pa.large_string())) == {(0, 0): 1.0}

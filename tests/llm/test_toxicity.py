@@ -71,3 +71,34 @@ def test_odd_rows(spark, odd, docs):
 
 def test_a_threshold_between_the_classes():
     assert 0.2 < T._threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) < 0.8
+
+
+def test_repeated_rows_and_labels_given_twice(spark, docs):
+    """A row more doesn't change the sample, and of two labels the higher one holds."""
+    known = labelled(6, 300)
+    rows = [r[:4] for r in known]
+    once = T.fit(docs(rows), labels_of(spark, known))
+    twice = T.fit(docs(rows + rows[:150]), labels_of(spark, known).unionByName(labels_of(spark, [(*r[:4], 0) for r in known[:100]])).unionByName(labels_of(spark, [(999_999, "", "", "", 1), (None, "", "", "", 1), (5, "", "", "", None)])))
+    assert np.array_equal(once.table, twice.table) and once.default == twice.default
+
+
+def test_the_sample_is_bounded(spark, docs, monkeypatch):
+    known = labelled(7, 300)
+    seen = []
+    monkeypatch.setattr(T, "train", lambda texts, langs, toxic: seen.append((len(texts), sum(len(t.as_py()) for t in texts))))
+    table, labels = docs([r[:4] for r in known]), labels_of(spark, known)
+    T.fit(table, labels, sample_rows=100)
+    T.fit(table, labels, sample_chars=20_000)
+    T.fit(table, labels)
+    assert seen[0][0] == 100 and 15_000 < seen[1][1] <= 20_000 and seen[2][0] == 300
+
+
+def test_null_and_empty_languages_are_two(spark):
+    rng = np.random.default_rng(8)
+    texts = [f"{'vilescum' if k % 2 else 'fine'} {'word ' * int(rng.integers(1, 9))}" for k in range(400)]
+    langs = [None if k % 4 < 2 else "" for k in range(400)]
+    model = T.train(texts_of(pa.array(texts, pa.large_string())), langs, np.arange(400) % 2)
+    assert set(model.thresholds) == {None, ""}
+    model.thresholds = {None: 1.0, "": 0.0}
+    batch = pa.RecordBatch.from_pydict({"text": texts[:4], "lang": langs[:4]})
+    assert T._judge(model, batch, "text", "lang")[1].tolist() == [False, False, True, True]
