@@ -40,12 +40,24 @@ def test_ratio_itself_stays(spark, docs):
 
 
 def test_odd_rows(spark, odd, docs):
+    """Of three pages without a host two are the same, so they share their line; no other host's pages share any."""
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in odd.collect()]
     got = L.drop_lines(odd, dropped_col="n_dropped")
-    assert sorted(map(str, (r["text"] for r in got.collect()))) == sorted(map(str, (r["text"] for r in odd.collect())))
-    assert {r["n_dropped"] for r in got.collect()} == {0}
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == brute(rows, L.RATIO, L.MIN_PAGES)
+    assert sorted(r["doc_id"] for r in got.collect() if r["n_dropped"]) == [4, 4]
     assert L.drop_lines(docs([])).count() == 0
 
 
+def test_the_ratio_alone_decides_on_hosts_of_any_size(spark, docs):
+    """A line on one page stays, one on two of 99 and on two of two goes, one on two of 101 stays."""
+    rows = [(k, f"own {k}\nshared" if k < 2 else f"own {k}", "en", "two") for k in range(2)]
+    rows += [(100 + k, f"own {k}\nshared" if k < 2 else f"own {k}", "en", "hundred") for k in range(99)]
+    rows += [(300 + k, f"own {k}\nshared" if k < 2 else f"own {k}", "en", "more") for k in range(101)] + [(500, "alone", "en", "one")]
+    got = {r["doc_id"]: r["text"] for r in L.drop_lines(docs(rows)).collect()}
+    assert got[0] == "own 0" and got[100] == "own 0" and got[300] == "own 0\nshared" and got[500] == "alone"
+    assert sorted(got.items()) == brute(rows, L.RATIO, L.MIN_PAGES)
+
+
 def test_sql_says_the_same(spark, docs, tmp_path):
     rows = corpus(2)
     docs(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
