@@ -2,18 +2,25 @@
 
 Canonical form: lower case; runs of anything but letters, digits and line ends become a
 blank; equivalent spellings become one; lines that only state a copyright go; lines are
-joined.  A text is a known licence if the MD5 digests of the canonical forms are equal.
-Both the whole of each document and each of its lines is looked up, since a document may
-be a licence or carry one in a line.
+joined.  A line states a copyright if it begins with the word, the sign or "c" and a
+year, doesn't go on as licence texts do ("copyright notice", "copyright holders"), and
+has at most 25 words.  A text is a known licence if the MD5 digests of the canonical
+forms are equal.  Both the whole of each document and each of its lines is looked up,
+since a document may be a licence or carry one in a line.
+
+Known are the texts in `licence_texts` (short licences as texts, long ones by digest)
+and the one-sentence notices below; `known` takes others.
 
 Plan: JVM expressions only.  The texts are read once, lines are exploded into digests
-and joined to the table of known digests, which the planner broadcasts (it is part of
-the library, not of the data); nothing is shuffled.
+and joined to the table of known digests, which is broadcast: it is a list in this
+library or of the caller, not a table that grows with the corpus (beyond `MOST_KNOWN`
+entries the planner decides).  Nothing is shuffled.
 
 Defined results: null texts, and texts and lines whose canonical form is empty, match
-nothing; a document of one line that is a licence is found as document and as line;
-repeated rows are found each; other columns are not read; very long texts are handled
-whole.
+nothing; a document of one line that is a licence is found as document and as line; a
+licence that stands in one line with its copyright isn't found; a digest that several
+licences share is the least of them; repeated rows are found each; an empty table gives
+no rows; other columns are not read; very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -22,7 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.llm._store import documents
+from geolattice.llm.licence_texts import DIGESTS, TEXTS
 
+MOST_KNOWN = 100_000
 #: Licence and a text that stands for it.
 NOTICES = [
     ("MIT", "Released under the MIT License."),
@@ -48,9 +57,12 @@ NOTICES = [
 ]
 
 #: Spellings that mean the same, in canonical form between blanks.
-SPELLINGS = [("licenc", "licens"), (" non commercial", " noncommercial"), (" share alike", " sharealike"), (" sub licens", " sublicens"), (" copyright owner", " copyright holder"), (" gnu gpl ", " gnu general public license "), (" creativecommons ", " creative commons "), (" apache 2 0 license ", " apache license version 2 0 "), (" merchantibility", " merchantability")]
+SPELLINGS = [("licenc", "licens"), (" non commercial", " noncommercial"), (" share alike", " sharealike"), (" sub licens", " sublicens"), (" copyright owner", " copyright holder"), (" gnu gpl ", " gnu general public license "), (" creativecommons ", " creative commons "), (" apache 2 0 license ", " apache license version 2 0 "), (" merchantibility", " merchantability"), (" acknowledgement ", " acknowledgment "), (" https ", " http ")]
 _VERSION = r" (version|ver|v) ?([0-9])"
-_COPYRIGHT = r"^(portions )?(copyright (c )?[0-9]{4}|c [0-9]{4}|copyright .* all rights reserved$)"
+_COPYRIGHT = r"^((some |all )?portions )?(spdx filecopyrighttext|copyright|c ((19|20)[0-9]{2}|copyright))( |$)"
+#: How lines of licence texts go on that begin with "copyright".
+_TEXT = r"^copyright (also|lines?|notices?|holders?|licens[a-z]*|laws?|and|or|nor|interests?|in|is|are|on|to|as|for|of|statements?|disclaimers?|claims?|protection|permission|treat[a-z]*|status|assignments?|infringement|office|act|rights?|patents?|that|which|if|may|must|shall|should|will|does|do|can|has|have|you|this|these)( |$)"
+_SHORT = r"^([^ ]+ ){0,24}[^ ]+$"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -65,13 +77,17 @@ def canonical_lines(text: Column) -> Column:
 
 def canonical(lines: Column) -> Column:
     """Canonical form of a whole text from those of its lines."""
-    return F.concat_ws(" ", F.filter(lines, lambda y: (y != "") & ~y.rlike(_COPYRIGHT)))
+    return F.concat_ws(" ", F.filter(lines, lambda y: (y != "") & ~(y.rlike(_COPYRIGHT) & ~y.rlike(_TEXT) & y.rlike(_SHORT))))
 
 
-def known(spark: SparkSession, notices: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, licence; a digest that several licences share is the least of them."""
-    rows = spark.createDataFrame(notices or NOTICES, "licence string, text string").withColumn("lines", canonical_lines(F.col("text")))
-    return rows.select("licence", canonical(F.col("lines")).alias("t")).filter("t <> ''").groupBy(F.md5("t").alias("digest")).agg(F.min("licence").alias("licence"))
+def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None, digests: list[tuple[str, str]] | None = None) -> DataFrame:
+    """digest, licence of those given, else of all in this library."""
+    if texts is None and digests is None:
+        texts, digests = NOTICES + TEXTS, DIGESTS
+    rows = spark.createDataFrame(texts or [], "licence string, text string").withColumn("lines", canonical_lines(F.col("text")))
+    own = rows.select("licence", canonical(F.col("lines")).alias("t")).filter("t <> ''").select(F.md5("t").alias("digest"), "licence")
+    out = own.unionByName(spark.createDataFrame([(d, name) for name, d in digests or []], "digest string, licence string")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    return F.broadcast(out) if len(texts or []) + len(digests or []) <= MOST_KNOWN else out
 
 
 def scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,14 +116,19 @@ def _sql_lines(text: str) -> str:
 
 
 def _sql_whole(lines: str) -> str:
-    return f"array_to_string(list_filter({lines}, lambda y: y <> '' AND NOT regexp_matches(y, '{_COPYRIGHT}')), ' ')"
+    return f"array_to_string(list_filter({lines}, lambda y: y <> '' AND NOT (regexp_matches(y, '{_COPYRIGHT}') AND NOT regexp_matches(y, '{_TEXT}') AND regexp_matches(y, '{_SHORT}'))), ' ')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in NOTICES)
+_VALUES = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in NOTICES + TEXTS)
+_DIGESTS = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in DIGESTS)
 QUERY = "op2_licence_scan"
 SQL = f"""
-WITH known AS (SELECT md5({_sql_whole('ls')}) AS digest, min(licence) AS licence
-               FROM (SELECT licence, {_sql_lines('t')} AS ls FROM (VALUES {_VALUES}) v(licence, t)) GROUP BY 1),
+WITH texts AS (SELECT licence, {_sql_lines('t')} AS ls FROM (VALUES {_VALUES}) v(licence, t)),
+known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, md5({_sql_whole('ls')}) AS digest FROM texts UNION ALL SELECT * FROM (VALUES {_DIGESTS}) d(licence, digest)) GROUP BY 1),
 docs AS (SELECT doc_id, {_sql_lines('text')} AS ls FROM documents WHERE text IS NOT NULL),
 units AS (SELECT doc_id, unnest(list_concat([{_sql_whole('ls')}], ls)) AS u, unnest(range(len(ls) + 1)) AS line_no FROM docs)
 SELECT doc_id, CASE WHEN line_no = 0 THEN 'document' ELSE 'line' END AS part, CAST(line_no AS INTEGER) AS line_no, licence
