@@ -10,30 +10,33 @@ max(1, budget // boundary) of them make a batch.
 Plan: one aggregation (the histogram, whose rows are distinct lengths, not documents)
 and one shuffle of (id, length) by length, never of text.  A document's place in its
 bucket is the number of shorter ones there, known from the histogram, plus its number
-among those of its own length; a length that very many share is split by range of id,
-with the parts' sizes counted beforehand.
+among those of its own length.  A length that more than `part_rows` share is numbered in
+ranges of the id: a sample of its ids, of bounded size, only says where ranges end, so
+that no task gets too many; the ranges' sizes are counted beforehand, and the order is
+that of the ids however it is cut.
 
 Defined results: null and empty texts have length 0 and go into the first bucket (a
 bucket of boundary 0 if padding is least so); repeated rows are packed each; ties in
-length stand in order of id, null ids first (a length shared by more than part_rows
-stands in order of a hash of the id first); an empty table gives no rows; a document
-longer than the budget is a batch of its own.
+length stand in order of id, null ids first; ids may be of any type that has an order;
+an empty table gives no rows; a document longer than the budget is a batch of its own;
+texts are measured whole; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolattice.llm._store import documents, keep
 from geolattice.llm._tokens import with_lengths
 
 BUCKETS, BUDGET = 16, 65536
-#: A length is numbered in parts of about so many documents.
-PART_ROWS = 1_000_000
+#: A length is numbered in ranges of about so many documents, whose ends are taken from so many ids for each.
+PART_ROWS, SAMPLED = 1_000_000, 64
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[list[int], int]:
@@ -74,6 +77,12 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[lis
     return cuts[::-1], best[n] - sum(x * c for x, c in zip(lengths, counts))
 
 
+def _below(ends: Column, x: Column, step: int) -> Column:
+    """How many of the ascending ends are below x: blocks of `step` first, then within one."""
+    blocks = F.size(F.filter(F.transform(F.sequence(F.lit(step), F.greatest(F.size(ends), F.lit(step)), F.lit(step)), lambda k: F.get(ends, k - 1)), lambda e: e < x))
+    return blocks * step + F.size(F.filter(F.slice(ends, blocks * step + 1, step), lambda e: e < x))
+
+
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", length_col: str = "n_tokens", part_rows: int = PART_ROWS) -> DataFrame:
     """id, n_tokens, bucket, padded_to, batch (numbered in its bucket from 0), of every row of lengths."""
     spark = lengths.sparkSession
@@ -89,11 +98,20 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_co
     plan = spark.createDataFrame(
         pa.table({"n": pa.array(ns, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "padded_to": pa.array([ends[k] for k in bucket], pa.int64()), "shorter": pa.array(shorter, pa.int64()), "parts": pa.array([max(1, -(-c // part_rows)) for c in cs], pa.int64())})
     ) if ns else spark.createDataFrame([], "n long, bucket long, padded_to long, shorter long, parts long")
-    # The parts of a length are ranges of a hash of the id; documents of one length differ in order only, not in padding.
-    placed = rows.join(F.broadcast(plan) if len(ns) < 500_000 else plan, "n").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    placed = rows.join(F.broadcast(plan) if len(ns) < 500_000 else plan, "n")
+    hot = {n: -(-c // part_rows) for n, c in zip(ns, cs) if c > part_rows}
+    if hot:
+        # Ends of the ranges, for each length of more than part_rows documents, of a sample of about SAMPLED ids a range.
+        wanted = spark.createDataFrame([(n, SAMPLED * parts * (1 << 30) // c) for n, c in zip(ns, cs) if (parts := hot.get(n))], "n long, most long")
+        few = rows.join(F.broadcast(wanted), "n").filter("id is not null").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("most")).groupBy("n").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+        ends_of = few.join(F.broadcast(plan.select("n", "parts")), "n").select("n", F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda k: F.element_at("ids", F.least(F.size("ids"), F.greatest(F.lit(1), F.floor(k * F.size("ids") / F.col("parts")))).cast("int"))).alias("ends"))
+        ends_of = keep(ends_of, "ranges")
+        placed = placed.join(F.broadcast(ends_of), "n", "left").withColumn("part", F.when(F.col("ends").isNull() | F.col("id").isNull(), F.lit(-1)).otherwise(_below(F.col("ends"), F.col("id"), math.ceil(math.sqrt(max(hot.values())))))).drop("ends")
+    else:
+        placed = placed.withColumn("part", F.lit(-1))
     sizes = placed.filter("parts > 1").groupBy("n", "part").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("n", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    if any(c > part_rows for c in cs):
+    if hot:
         placed = placed.join(before, ["n", "part"], "left")
     else:
         placed = placed.withColumn("before", F.lit(0))

@@ -56,6 +56,22 @@ def test_batches(spark, part_rows):
     check(got, 200)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_one_order_whatever_the_parts(spark, kind):
+    """Every document's batch is the one that counting through (length, id) gives."""
+    rng = random.Random(7)
+    ids = rng.sample(range(10_000), 600) + [5, 5, 5, None, None]
+    rows = [(None if i is None else i if kind == "long" else f"{i:x}", rng.choice([3, 3, 3, 8, 9])) for i in ids]
+    want = []
+    for n in (3, 8, 9):
+        want += sorted((r for r in rows if r[1] == n), key=lambda r: (r[0] is not None, r[0]))
+    want = sorted(((*r, k // 5) for k, r in enumerate(want)), key=str)
+    for part_rows in (10**6, 100, 9, 1):
+        got = P.pack(spark.createDataFrame(rows, f"doc_id {kind}, n_tokens long"), 1, 45, part_rows=part_rows).collect()
+        # rows of one id and length are alike
+        assert sorted(((r["doc_id"], r["n_tokens"], r["batch"]) for r in got), key=str) == want
+
+
 def test_order_is_by_length_then_id(spark):
     rows = [(3, 5), (1, 5), (2, 5), (4, 2)]
     got = sorted((r["batch"], r["n_tokens"], r["doc_id"]) for r in P.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), 1, 10).collect())
