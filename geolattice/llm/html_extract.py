@@ -9,15 +9,20 @@ repeat is the union of such strings, so what remains are the runs unique to a pa
 
 Plan: one shuffle, of the plain text by host.  A host of more than `BLOCK_CHARS` of
 markup, which one task couldn't hold, is dealt to blocks by hash of the page.  Each block
-has its suffix array; fingerprints (64 bits) of its strings are counted over the host's
-blocks, and those found in several come back to the blocks, so that the result is the
-same as from one array.  Hosts that fit take no part in that exchange.
+has its suffix array; fingerprints (64 bits) of the strings are made where the pages lie,
+counted over the host's blocks, and those found in several go to the blocks, so that the
+result is the same as from one array.  Hosts that fit take no part in that exchange.
+
+Markup: comments go, and script, style, noscript, template, textarea, title, svg and
+iframe elements with what is in them.  Where such an element isn't closed, a script or
+style takes the rest of the page with it, as in browsers; of the others only the tag
+goes, as of an svg that closes itself.  Names that only begin alike are other elements.
 
 Defined results: null and empty pages give empty text; a page whose host can't be read
 belongs to the host ''; rows of one page id are one page when repeats are counted, and
 are each returned; null ids are one page; a string repeated within one page only stays;
-pages shorter than `MIN_WORDS` are kept whole; if all is covered the text is empty;
-other columns are not read.
+pages shorter than `MIN_WORDS` are kept whole; if all is covered the text is empty; an
+empty table gives no rows; very long pages are handled whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,20 +37,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.llm._store import documents, keep
-from geolattice.llm._text import hash_words, texts_of
+from geolattice.llm._text import hash_words, slices, texts_of
 
 MIN_WORDS, BLOCK_CHARS = 10, 128_000_000
 
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b.*?(?:</\1\s*>|\Z)")
 _ATTRIBUTES = r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+"""
 _INLINE = re.compile(rf"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|kbd|mark|q|s|small|span|strong|sub|sup|u|var|wbr)(?:\s{_ATTRIBUTES})?>")
 _TAG = re.compile(rf"<[!/?a-zA-Z]{_ATTRIBUTES}>|<[!/?a-zA-Z][^<>]*+>")
 
 
+_HIDDEN = "script|style|noscript|template|textarea|title|svg|iframe"
+_OPEN = re.compile(rf"(?i)<!--|<({_HIDDEN})(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*+>|[^>]*+\Z)")
+_CLOSE = {name: re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*+>") for name in _HIDDEN.split("|")}
+
+
+def shown(page: str) -> str:
+    """The page without comments and elements that hold no text to read; one walk through it."""
+    out, pos, unclosed = [], 0, set()
+    while m := _OPEN.search(page, pos):
+        out += [page[pos : m.start()], " "]
+        name = (m.group(1) or "").lower()
+        pos = m.end()
+        if not name:
+            end = page.find("-->", pos)
+            pos = end + 3 if end >= 0 else len(page)
+        elif name not in unclosed and not (name == "svg" and m.group().endswith("/>")):
+            if close := _CLOSE[name].search(page, pos):
+                pos = close.end()
+            elif name in ("script", "style"):
+                pos = len(page)
+            else:
+                unclosed.add(name)
+    return "".join([*out, page[pos:]])
+
+
 def plain(page: str) -> str:
     """Words of a page in reading order, parted by single blanks."""
-    x = _DROP.sub(" ", page)
-    x = _TAG.sub(" ", _INLINE.sub("", x))
+    x = _TAG.sub(" ", _INLINE.sub("", shown(page)))
     return " ".join(html.unescape(x).split())
 
 
@@ -70,16 +98,19 @@ def windows(tokens: np.ndarray, width: int) -> np.ndarray:
     return rank
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, inside: np.ndarray, width: int, elsewhere: np.ndarray | None = None) -> np.ndarray:
-    """Which words lie in a string of `width` words that stands on two pages, or whose place is marked in elsewhere."""
+def covered(tokens: np.ndarray, row: np.ndarray, page: np.ndarray, inside: np.ndarray, width: int, elsewhere: np.ndarray | None = None) -> np.ndarray:
+    """Which words lie in a string of `width` words that stands on two pages, or whose place is marked in elsewhere; row: of each word, page: of each row."""
     rank = windows(tokens, width)
-    order = np.argsort(rank, kind="stable")  # the suffix array
-    r, p = rank[order], page[order]
+    order = np.argsort(rank, kind="stable").astype(np.uint32)  # the suffix array
+    r = rank[order]
     del rank
     starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    del r
+    p = page[row[order]]
     shared = np.minimum.reduceat(p, starts) != np.maximum.reduceat(p, starts)
     begin = np.zeros(len(tokens), bool)
-    begin[order] = np.repeat(shared, np.diff(np.append(starts, len(r))))
+    begin[order] = np.repeat(shared, np.diff(np.append(starts, len(p))))
+    del order, p
     if elsewhere is not None:
         begin |= elsewhere
     begin &= inside
@@ -91,29 +122,40 @@ def covered(tokens: np.ndarray, page: np.ndarray, inside: np.ndarray, width: int
 
 
 class Stream:
-    """Pages on end: word numbers, each page closed by a mark, and the page of each place."""
-
-    def __init__(self, table: pa.Table, width: int):
-        texts = texts_of(table.column("text"))
-        split = pc.split_pattern(texts, " ")
-        flat, size = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        d = flat.dictionary_encode()
-        idx, self.words = d.indices.to_numpy(zero_copy_only=False), d.dictionary
+    """Pages on end: word numbers, each page closed by a mark of its own, and the row of each place.
+
+    Texts are split some at a time, so that the words are never all in memory as text.
+    """
+
+    def __init__(self, texts: pa.ChunkedArray, page_key: np.ndarray, width: int):
+        flats, sizes = [], [np.zeros(0, np.int64)]
+        for chunk in texts.chunks:
+            for start, stop in slices(texts_of(chunk), 4_000_000):
+                split = pc.split_pattern(texts_of(chunk.slice(start, stop - start)), " ")
+                flats.append(split.flatten().cast(pa.string()).dictionary_encode())
+                sizes.append(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        size = self.size = np.concatenate(sizes)
+        flat = pa.chunked_array(flats, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+        self.words = flat.chunk(0).dictionary if flat.num_chunks else pa.array([], pa.string())
+        for c in flat.chunks:
+            self.words = c.dictionary if len(c.dictionary) > len(self.words) else self.words
         self.starts = np.concatenate([[0], np.cumsum(size + 1)])  # a mark after each page
-        self.tokens = np.empty(self.starts[-1], np.int32)
-        row = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         mark = self.starts[1:] - 1
-        word = np.ones(len(row), bool)
-        word[mark] = False
-        self.tokens[word] = idx
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+        self.word = np.ones(len(self.row), bool)
+        self.word[mark] = False
+        self.tokens = np.empty(self.starts[-1], np.int32)
         self.tokens[mark] = len(self.words) + np.arange(len(size))
-        self.flat, self.size = flat, size
-        _, same = np.unique(np.asarray(table.column("page_key").to_numpy()), return_inverse=True)
-        self.page = same.astype(np.int32)[row] if len(same) else np.zeros(0, np.int32)
-        edge = np.zeros(len(row) + 1, np.int8)  # where a string of `width` words begins that its page holds
+        at = 0
+        places = np.flatnonzero(self.word)
+        for c in flat.chunks:
+            self.tokens[places[at : at + len(c)]] = c.indices.to_numpy(zero_copy_only=False)
+            at += len(c)
+        self.page = np.unique(page_key, return_inverse=True)[1].astype(np.int32) if len(size) else np.zeros(0, np.int32)
+        edge = np.zeros(len(self.row) + 1, np.int8)  # where a string of `width` words begins that its page holds
         np.add.at(edge, self.starts[:-1], 1)
         np.add.at(edge, np.maximum(self.starts[:-1], mark - width + 1), -1)
-        self.inside, self.word, self.row = np.cumsum(edge[:-1], dtype=np.int8) > 0, word, row
+        self.inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
 
     def prints(self, width: int) -> np.ndarray:
         """64-bit fingerprint of the string at each place."""
@@ -124,6 +166,19 @@ class Stream:
         out ^= out >> np.uint64(32)
         return out
 
+    def kept(self, gone: np.ndarray) -> tuple[pa.ChunkedArray, np.ndarray]:
+        """Each row's words that aren't gone, and their number."""
+        stays = self.word & ~gone
+        n = np.bincount(self.row[stays], minlength=len(self.size)).astype(np.int64)
+        ends, parts, at = np.concatenate([[0], np.cumsum(n)]), [], 0
+        left = self.tokens[stays]
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 500_000, side="right")) - 1)
+            lists = pa.ListArray.from_arrays(pa.array(ends[at : stop + 1] - ends[at], pa.int32()), self.words.take(pa.array(left[ends[at] : ends[stop]])))
+            parts.append(pc.binary_join(lists, pa.scalar(" ", pa.string())))
+            at = stop
+        return pa.chunked_array(parts, pa.string()), n
+
 
 def _blocks(pages: DataFrame, block_chars: int, url_col: str, html_col: str) -> DataFrame:
     """host, blocks of hosts too large for one task."""
@@ -150,31 +205,39 @@ def unique_text(pages: DataFrame, min_words: int = MIN_WORDS, block_chars: int =
     texts = rows.mapInArrow(strip, f"id {kind}, page_key long, host string, block long, split boolean, text string")
     split_hosts = large.limit(1).count() > 0
 
-    def prints(key: tuple, table: pa.Table) -> pa.Table:
-        s = Stream(table, min_words)
-        fp = np.unique(s.prints(min_words)[s.inside])
-        return pa.table({"host": pa.array([key[0].as_py()] * len(fp), pa.string()), "block": pa.array([key[1].as_py()] * len(fp), pa.int64()), "fp": fp.view(np.int64)})
-
     def runs(table: pa.Table, known: np.ndarray | None) -> pa.Table:
-        s = Stream(table, min_words)
+        s = Stream(table.column("text"), table.column("page_key").to_numpy(), min_words)
         elsewhere = np.isin(s.prints(min_words), known) if known is not None and len(known) else None
-        gone = covered(s.tokens, s.page, s.inside, min_words, elsewhere)[s.word] if len(s.tokens) else np.zeros(0, bool)
-        kept = np.bincount(s.row[s.word][~gone], minlength=len(s.size)).astype(np.int64)
-        kept_words = s.flat.filter(pa.array(~gone))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), kept_words)
-        text = pc.binary_join(lists, pa.scalar(" ", kept_words.type)).cast(pa.string())
-        blank = pc.equal(table.column("text"), "")
-        n = np.where(blank.to_numpy(zero_copy_only=False), 0, s.size)
-        return pa.table({id_col: table.column("id"), "host": table.column("host"), "text": text, "n_words": pa.array(n, pa.int64()), "n_kept": pa.array(np.where(n == 0, 0, kept), pa.int64())})
+        gone = covered(s.tokens, s.row, s.page, s.inside, min_words, elsewhere) if len(s.tokens) else np.zeros(0, bool)
+        text, kept = s.kept(gone)
+        blank = pc.equal(table.column("text"), "").to_numpy()
+        return pa.table({id_col: table.column("id"), "host": table.column("host"), "text": text, "n_words": pa.array(np.where(blank, 0, s.size), pa.int64()), "n_kept": pa.array(np.where(blank, 0, kept), pa.int64())})
 
     schema = f"`{id_col}` {kind}, host string, text string, n_words long, n_kept long"
     whole = (texts.filter("not split") if split_hosts else texts).groupBy("host", "block").applyInArrow(lambda table: runs(table, None), schema)
     if not split_hosts:
         return whole
-    parts = texts.filter("split")
-    shared = parts.groupBy("host", "block").applyInArrow(prints, "host string, block long, fp long").groupBy("host", "fp").agg(F.collect_list("block").alias("bs")).filter(F.size("bs") > 1).select("host", F.explode("bs").alias("block"), "fp")
-    back = parts.groupBy("host", "block").cogroup(shared.groupBy("host", "block")).applyInArrow(lambda table, known: runs(table, known.column("fp").to_numpy().view(np.uint64)), schema)
-    return whole.unionByName(back)
+
+    def prints(batches):
+        """Fingerprints of a block's strings, those of a host apart from those of others."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = Stream(pa.chunked_array([b.column(2)]), b.column(1).to_numpy(), min_words)
+            at = np.flatnonzero(s.inside)
+            own = s.prints(min_words)[at] ^ b.column(3).to_numpy().view(np.uint64)[s.row[at]]
+            both = np.unique(np.stack([own, b.column(0).to_numpy().view(np.uint64)[s.row[at]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64))], names=["fp", "slot"])
+
+    parts = texts.filter("split").withColumn("slot", F.xxhash64("host", "block")).withColumn("host_key", F.xxhash64("host"))
+    found = parts.select("slot", "page_key", "text", "host_key").mapInArrow(prints, "fp long, slot long")
+    shared = found.groupBy("fp").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.collect_set("slot").alias("slots")).filter("lo <> hi").select(F.explode("slots").alias("slot"), "fp")
+
+    def among(table: pa.Table, known: pa.Table) -> pa.Table:
+        key = np.uint64(table.column("host_key")[0].as_py() & 0xFFFFFFFFFFFFFFFF) if table.num_rows else np.uint64(0)
+        return runs(table, known.column("fp").to_numpy().view(np.uint64) ^ key)
+
+    return whole.unionByName(parts.groupBy("slot").cogroup(shared.groupBy("slot")).applyInArrow(among, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,20 @@ def test_markup():
     assert H.plain("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
 
 
+def test_elements_that_hide_their_text():
+    assert H.plain('<p>one <svg class="i"/> two three</p><p>rest</p>') == "one two three rest"
+    assert H.plain('<p>one <svg a=">"><path d="m1"/><text>no</text></svg> two</p>') == "one two"
+    assert H.plain("<title-card>hello</title-card> x <scripted>y</scripted>") == "hello x y"
+    for name in ("svg", "iframe", "title", "noscript", "template", "textarea"):
+        assert H.plain(f"a <{name} w=1> b <p>c</p>") == "a b c"
+        assert H.plain(f"a <{name} w=1> b <p>c</p></{name.upper()} > d<{name}>e") == "a d e"
+    for name in ("script", "STYLE"):
+        assert H.plain(f"a <{name}>b") == "a" and H.plain(f"a<{name} src='x'>b</{name.lower()}>c") == "a c"
+    assert H.plain("a<!-- <p>b --> c <!-- d") == "a c" and H.plain('a <script type="x>b</script> c') == "a c"
+    many = "<svg>" * 20_000 + "<iframe>" * 20_000 + "end"
+    assert H.plain(many) == "end"  # in linear time
+
+
 def test_odd_rows(spark):
     long = "<p>" + " ".join(str(k) for k in range(200_000)) + "</p>"
     rows = [(1, None, None), (2, "nonsense", ""), (3, "http://a.org/", "<p>w x y z</p>"), (3, "http://a.org/", "<p>w x y z</p>"), (None, "http://a.org/x", "<i></i>"), (4, "http://c.org/", long), (5, "http://a.org/2", "<p>w x y z q</p>")]
