@@ -9,8 +9,7 @@ Plan: lines are hashed with their host (64 bits) on the map side and counted by
 no text is shuffled and a hot host's lines spread over all tasks.  Lines above the ratio
 are few per host (at most its mean number of lines a page / ratio); they are written to
 the shared folder, so that the planner knows their size and broadcasts them only if
-small, else it shuffles, splitting a hot host.  A page's lines are matched with its
-host's by a hash set.
+small, else it shuffles, splitting a hot host.
 
 Defined results: a line counts once a page, compared without spaces at its ends; blank
 lines are neither counted nor dropped; a null text stays null and counts as a page
@@ -51,11 +50,10 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 def drop_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", dropped_col: str | None = None) -> DataFrame:
     """docs with the boilerplate lines taken out of text_col; dropped_col, if given, holds how many."""
     found = keep(boilerplate(docs, ratio, min_pages, host_col, text_col), "boilerplate")
-    host, lines, mine = fresh(docs.columns, "bp_host", "bp_lines", "bp_mine")
+    host, lines = fresh(docs.columns, "bp_host", "bp_lines")
     both = docs.join(found.toDF(host, lines), F.col(host_col).eqNullSafe(F.col(host)), "left")
-    both = both.withColumn(mine, F.when(F.col(lines).isNotNull(), F.array_intersect(_hashes(F.col(text_col)), F.col(lines))))
-    stays = F.filter(_lines(F.col(text_col)), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(mine), F.xxhash64(F.trim(x))))
-    same = F.col(lines).isNull() | F.col(text_col).isNull() | (F.size(mine) == 0)
+    stays = F.filter(_lines(F.col(text_col)), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(lines), F.xxhash64(F.trim(x))))
+    same = F.col(lines).isNull() | F.col(text_col).isNull()
     text = F.when(same, F.col(text_col)).otherwise(F.concat_ws("\n", stays))
     size = lambda c: F.size(_lines(c))
     out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
