@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and return it as a table read from there.
 
-    The files are deleted when the application ends.
+    The files are deleted when the application ends, or by forget().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
@@ -36,7 +36,16 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_at = where
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables from keep() that nothing will read again; other tables are left alone."""
+    for table in tables:
+        if where := getattr(table, "kept_at", None):
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shipped(spark: SparkSession, value):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolattice.llm._store import keep
+from geolattice.llm._store import forget, keep
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = keep(large, "edges")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").unionByName(low.select("hi", F.col("m").alias("lo"))).distinct()
-        now = keep(small, "edges")
+        last, now = now, keep(small, "edges")
+        forget(last, large)
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first()
         if state == before:
             break
