@@ -146,37 +146,80 @@ class Search:
         return plan(self.scan(envelope(tree, self._collections())), request, self.catalog.queryables(), self.settings)
 
     def register(self, request: dict, metadata: dict | None = None) -> Registered:
+        """Known by its hash from now on, to whoever opens the catalog; each call counts as a use."""
         tree = search_tree(request)
         key = search_hash(tree, metadata)
-        found = self.searches.setdefault(key, Registered(key, request, tree, metadata or {}))
+        found = self._stored(key) or Registered(key, request, tree, metadata or {})
         if not self.settings.flag("readonly", request.get("conf")):
             found.usecount += 1
             found.lastused = time.time()
+            self._store(found)
+        else:
+            self.searches[key] = found
         return found
 
+    def _stored(self, key: str) -> Registered | None:
+        kept = self.catalog.stored_search(key)
+        return Registered(**kept) if kept else self.searches.get(key)
+
+    def _store(self, found: Registered) -> None:
+        self.searches[found.hash] = found
+        self.catalog.store_search(found.hash, vars(found))
+
     def from_hash(self, key: str) -> Registered:
-        if key not in self.searches:
+        if (found := self._stored(key)) is None:
             raise BadRequest(f"no search {key}")
-        return self.searches[key]
+        return found
+
+    def gc_searches(self, unused_days: float = 7) -> int:
+        """Registered searches without metadata that nobody used for so long are forgotten; how many."""
+        edge, gone = time.time() - unused_days * 86400, 0
+        for key in self.catalog.stored_searches():
+            found = self._stored(key)
+            if found and not found.metadata and found.lastused < edge:
+                self.searches.pop(key, None)
+                self.catalog.forget_search(key)
+                gone += 1
+        return gone
 
     def count(self, request: dict, p: Plan, force: bool = False) -> int | None:
-        """Matches: none if context is off; with auto an estimate from the statistics, if many; else exact, kept for a while."""
+        """Matches: none if context is off; with auto an estimate from the statistics, if that is many; else exact. Either is kept for a while.
+
+        The estimate takes the rows of the partitions that the request's envelope leaves,
+        each by the share of its time range and of its box that the envelope covers.
+        """
         conf = request.get("conf")
         context = str(self.settings.get("context", conf)).lower()
         if context == "off":
             return None
-        kept = self.searches.get(search_hash(p.tree)) or self.register(request)
+        kept = self._stored(search_hash(p.tree)) or self.register(request)
         ttl = float(self.settings.get("context_stats_ttl", conf))
         if not force and kept.count is not None and kept.stats_at is not None and time.time() - kept.stats_at < ttl:
             return kept.count
-        estimate = sum(x["stats"][0] for x in self.catalog.manifest["items"] if x["stats"]) if context == "auto" else 0
-        if context == "auto" and p.tree is None and estimate > int(self.settings.get("context_estimated_count", conf)):
-            kept.count = estimate
-        else:
-            kept.count = p.matched.count()
+        estimate = self.estimate(p.tree) if context == "auto" else 0
+        kept.count = estimate if estimate > int(self.settings.get("context_estimated_count", conf)) else p.matched.count()
         kept.stats_at = time.time()
+        if not self.settings.flag("readonly", conf):
+            self._store(kept)
         return kept.count
 
+    def estimate(self, tree: dict | None) -> int:
+        """Rows that may match, from the partitions' statistics alone."""
+        env = envelope(tree, self._collections())
+        total = 0.0
+        for x in self.partitions(env):
+            if x["stats"]:
+                n, dlo, dhi, _, _, x0, y0, x1, y1 = x["stats"]
+                share = 1.0
+                if env.start is not None and dlo is not None and (width := I.micros(dhi) - I.micros(dlo)) > 0:
+                    lo, hi = I.micros(dlo), I.micros(dhi)
+                    share = sum(max(0, min(hi, hi if b is None else I.micros(b)) - max(lo, lo if a is None else I.micros(a))) for a, b in env.start) / width
+                if env.box is not None and x0 is not None:
+                    for lo, hi, a, b in ((x0, x1, env.box[0], env.box[2]), (y0, y1, env.box[1], env.box[3])):
+                        share *= (min(hi, b) - max(lo, a)) / (hi - lo) if hi > lo else 1.0
+                total += n * min(1.0, max(0.0, share))
+        return round(total)
+
     def page(self, request: dict) -> Page:
         """One page; the rows are cut to it before documents are rebuilt."""
         p, limit = self.plan(request), int(request.get("limit") or DEFAULT_LIMIT)

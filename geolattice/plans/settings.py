@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -32,6 +33,7 @@ class Settings:
 
     spark: SparkSession | None = None
     stored: dict[str, Any] = field(default_factory=dict)
+    save: Callable[[dict[str, Any]], Any] | None = None  # what keeps the table, if anything does
 
     def get(self, name: str, conf: dict | None = None) -> Any:
         if conf and conf.get(name) is not None:
@@ -44,4 +46,7 @@ class Settings:
         return as_bool(self.get(name, conf))
 
     def set(self, name: str, value: Any) -> None:
+        """Stored, so that whoever opens the catalog next has it too."""
         self.stored[name] = value
+        if self.save is not None:
+            self.save(self.stored)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from geolattice.functions import documents as D
 from geolattice.model import ITEM_SCHEMA, PROMOTED
 from geolattice.operators import items as I
-from geolattice.operators.catalog import Catalog, Duplicate, Missing, Mode, ReadOnly
+from geolattice.operators import catalog as C
+from geolattice.operators.catalog import Catalog, Conflict, Duplicate, Missing, Mode, ReadOnly
+from geolattice.operators.search import Search
 from geolattice.plans.normalize import BadRequest
 
 from .conftest import feature, group
@@ -191,3 +193,128 @@ def test_reopened(spark, catalog):
     catalog.create_item(feature("a"))
     again = Catalog(spark, catalog.root)
     assert again.get_item("a") == feature("a") | {"links": []}
+
+
+# Storage
+
+
+def everything(catalog):
+    return sorted(r["id"] for r in catalog.items().collect()), catalog.table("deleted").count(), catalog.table("fragments").count(), catalog.manifest
+
+
+@pytest.mark.parametrize("step", ["_store", "_append", "_measure", "_commit", "_publish"])
+def test_a_load_that_dies_leaves_the_catalog_as_it_was(spark, catalog, monkeypatch, step):
+    catalog.create_collection(group("f", item_assets={"t": {"type": "png"}}))
+    doc = lambda k, **p: feature(k, collection="f", **p) | {"assets": {"t": {"type": "png", "href": k}}}
+    catalog.create_items([doc("a"), doc("b")])
+    before = everything(catalog)
+
+    def die(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Catalog, step, die)
+        for load in (lambda: catalog.upsert_items([doc("a", x=1), doc("c") | {"links": [{"rel": "x", "href": "y"}]}]), lambda: catalog.delete_item("a"), lambda: catalog.update_item(doc("b", x=2))):
+            with pytest.raises(OSError):
+                load()
+    assert everything(Catalog(spark, catalog.root)) == before
+    assert catalog._names("staging") == []
+    catalog.upsert_items([doc("a", x=1), doc("c")])
+    assert everything(catalog)[:2] == (["a", "b", "c"], 1)
+
+
+def test_of_two_writers_one_is_told(spark, catalog):
+    other = Catalog(spark, catalog.root)
+    with pytest.raises(Conflict):
+        with catalog._change() as manifest:
+            other.create_item(feature("b"))
+            catalog._commit(manifest, {}, {})
+    assert [r["id"] for r in catalog.items().collect()] == ["b"]
+
+
+def test_update_is_one_step(catalog):
+    catalog.create_items([feature("a"), feature("b")])
+    n = catalog._versions()[-1]
+    catalog.update_item(feature("a", v=1, at="2021-05-05T00:00:00Z"))
+    assert catalog._versions()[-1] == n + 1 and catalog.get_item("a")["properties"]["v"] == 1
+    assert [(r["item_id"], r["dt_bucket"]) for r in catalog.table("deleted").collect()] == [("a", "202001")]
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, catalog, monkeypatch):
+    monkeypatch.setattr(C, "FILE_ROWS", 100)
+    catalog.create_collection(group("big"))
+    docs = [feature(str(k), collection="big", at=f"2020-01-{1 + k % 28:02d}T00:00:00Z") for k in range(950)]
+    catalog.create_items(docs)
+    (part,) = catalog.manifest["items"]
+    files = [x for x in catalog._fs.listStatus(catalog._path(f"{catalog.root}/{part['paths'][0]}")) if x.getPath().getName().endswith(".parquet")]
+    assert part["stats"][0] == 950 and 5 <= len(files) <= 10
+    spans = sorted(tuple(spark.read.parquet(str(f.getPath())).agg(F.min("datetime"), F.max("datetime")).first()) for f in files)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # each file a range of time
+    catalog.upsert_items([d | {"properties": d["properties"] | {"x": 1}} for d in docs[:3]])
+    (part,) = catalog.manifest["items"]
+    assert part["stats"][0] == 950 and catalog.items().count() == 950
+
+
+def test_small_tables_grow_by_folders(catalog, monkeypatch):
+    monkeypatch.setattr(C, "MOST_FOLDERS", 4)
+    catalog.create_items([feature(str(k)) for k in range(6)])
+    for k in range(6):
+        catalog.delete_item(str(k))
+        assert catalog.table("deleted").count() == k + 1 and len(catalog.manifest["tables"]["deleted"]) < 4
+
+
+def test_vacuum(catalog):
+    catalog.create_items([feature("a"), feature("b")])
+    catalog.upsert_items([feature("a", x=1)])
+    catalog.upsert_collection(group("c", title="t"))
+    before = everything(catalog)
+    assert catalog.vacuum() == 0 and catalog.vacuum(-1) >= 2
+    assert everything(catalog) == before and len(catalog._names("items")) == 2
+    assert catalog.vacuum(-1) == 0
+
+
+def test_what_another_process_sees(spark, catalog):
+    """Settings, registered searches, the queue and its history are stored."""
+    catalog.settings.set("use_queue", True)
+    catalog.create_items([feature("a"), feature("b", box=(5, 5, 6, 6))])
+    key = Search(catalog).register({"collections": ["c"], "bbox": [0, 0, 2, 2]}).hash
+    catalog.run_or_queue("extents")
+    catalog.run_or_queue("nonsense")
+    other = Catalog(spark, catalog.root)
+    found = Search(other)
+    assert found.from_hash(key).search == {"collections": ["c"], "bbox": [0, 0, 2, 2]} and found.register({"collections": ["c"], "bbox": [0, 0, 2, 2]}).usecount == 2
+    assert found.page(found.from_hash(key).search).features[0]["id"] == "a"
+    assert other.settings.flag("use_queue") and other.queue == ["extents", "nonsense"] and other.run_queued() == 2
+    assert other.get_collection("c")["extent"]["spatial"] == {"bbox": [[0, 0, 6, 6]]}
+    assert [(h["query"], h["error"] is None) for h in catalog.queue_history] == [("extents", True), ("nonsense", False)] and catalog.queue == []
+    assert found.gc_searches() == 0 and found.gc_searches(-1) == 1
+    with pytest.raises(BadRequest):
+        Search(catalog).from_hash(key)
+
+
+def test_counts_and_estimates(spark, catalog):
+    catalog.create_items([feature(str(k), at=f"2020-01-{k + 1:02d}T00:00:00Z", box=(k, 0, k + 1, 1)) for k in range(21)])
+    search = Search(catalog)
+    tree = lambda r: search.plan(r).tree
+    assert search.estimate(None) == 21 and search.estimate(tree({"collections": ["other"]})) == 0
+    assert 9 <= search.estimate(tree({"datetime": "../2020-01-11T00:00:00Z"})) <= 11 and 4 <= search.estimate(tree({"bbox": [0, -5, 5, 5]})) <= 6
+    half = {"datetime": "2020-01-01T00:00:00Z/2020-01-11T00:00:00Z", "conf": {"context": "auto", "context_estimated_count": 5}}
+    assert search.page(half).matched == search.estimate(tree(half)) == 10
+    few = half | {"bbox": [0, 0, 0.5, 0.5]}
+    assert search.page(few).matched == 1  # few by the estimate, so counted
+    assert Search(Catalog(spark, catalog.root)).from_hash(search.register(few).hash).count == 1
+
+
+def test_analyze_and_violations(catalog):
+    catalog.create_items([feature("a"), feature("b", at="2020-02-01T00:00:00Z")])
+    assert catalog.violations().count() == 0 and catalog.analyze() == 0
+    with catalog._change() as manifest:
+        manifest["items"][0]["stats"][7] = 0.5
+        manifest["items"][1]["bucket"] = "202003"
+    assert {(r["id"], r["reason"]) for r in catalog.violations().collect()} == {("a", "outside its partition's statistics"), ("b", "outside its partition's statistics")}
+    with catalog._change() as manifest:
+        manifest["items"][1]["bucket"] = "202002"
+    assert catalog.analyze("c") == 1 and catalog.violations().count() == 0
+    with catalog._change() as manifest:
+        manifest["items"][0]["paths"] *= 2
+    assert ("a", "twice in its collection") in {(r["id"], r["reason"]) for r in catalog.violations().collect()}
