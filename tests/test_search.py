@@ -106,6 +106,7 @@ def test_counts(search):
     assert search.count({"collections": ["d"], "conf": {"context": "on"}}, p) == sum(d["collection"] == "d" for d in DOCS)
     kept = search.register({"collections": ["d"]})
     kept.count = 7
+    search._store(kept)
     assert search.count({"collections": ["d"], "conf": {"context": "on"}}, p) == 7  # within its time to live
     assert search.count({"collections": ["d"], "conf": {"context": "on", "context_stats_ttl": 0}}, p) != 7
 
