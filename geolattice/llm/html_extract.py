@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.llm._store import documents, keep
-from geolattice.llm._text import hash_words, slices, texts_of
+from geolattice.llm._text import hash_words, slices, texts_of, tidy
 
 MIN_WORDS, BLOCK_CHARS = 10, 128_000_000
 
@@ -202,7 +202,7 @@ def unique_text(pages: DataFrame, min_words: int = MIN_WORDS, block_chars: int =
             text = [plain(x) if x else "" for x in b.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(text, pa.large_string()).cast(pa.string())], names=["id", "page_key", "host", "block", "split", "text"])
 
-    texts = rows.mapInArrow(strip, f"id {kind}, page_key long, host string, block long, split boolean, text string")
+    texts = rows.mapInArrow(tidy(strip), f"id {kind}, page_key long, host string, block long, split boolean, text string")
     split_hosts = large.limit(1).count() > 0
 
     def runs(table: pa.Table, known: np.ndarray | None) -> pa.Table:
@@ -230,7 +230,7 @@ def unique_text(pages: DataFrame, min_words: int = MIN_WORDS, block_chars: int =
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64))], names=["fp", "slot"])
 
     parts = texts.filter("split").withColumn("slot", F.xxhash64("host", "block")).withColumn("host_key", F.xxhash64("host"))
-    found = parts.select("slot", "page_key", "text", "host_key").mapInArrow(prints, "fp long, slot long")
+    found = parts.select("slot", "page_key", "text", "host_key").mapInArrow(tidy(prints), "fp long, slot long")
     shared = found.groupBy("fp").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.collect_set("slot").alias("slots")).filter("lo <> hi").select(F.explode("slots").alias("slot"), "fp")
 
     def among(table: pa.Table, known: pa.Table) -> pa.Table:
