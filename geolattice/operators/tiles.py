@@ -107,6 +107,10 @@ class Coverage:
         return self.area >= self.total * (1 - 1e-9)
 
 
+#: Rows that a task may hold for a top-k.
+TOP_K = 100_000
+
+
 def geometry_search(search: Search, geometry: dict, key: str, fields: dict | None = None, scanlimit: int | None = 10_000, limit: int = 100, timelimit: float = 5.0, exitwhenfull: bool = True, skipcovered: bool = True) -> dict[str, Any]:
     """FeatureCollection of a registered search's items over a geometry."""
     shape = Shape(geometry)
@@ -120,10 +124,12 @@ def geometry_search(search: Search, geometry: dict, key: str, fields: dict | Non
     rows = search.scan(envelope(tree, search._collections()))
     p = plan(rows, request, search.catalog.queryables(), search.settings)
     ordered = p.matched.orderBy(*[k.order() for k in p.keys])
-    if scanlimit is not None:
+    if scanlimit is not None and scanlimit <= TOP_K:  # a top-k; of more rows a sort, from which as many are taken
         ordered = ordered.limit(scanlimit)
     began, cover, taken = time.monotonic(), Coverage(shape) if shape.polygons else None, []
-    for row in ordered.select("id", "collection", "geometry").toLocalIterator(prefetchPartitions=False):
+    for scanned, row in enumerate(ordered.select("id", "collection", "geometry").toLocalIterator(prefetchPartitions=False)):
+        if scanlimit is not None and scanned >= scanlimit:
+            break
         grew = cover.add(row["geometry"]) if cover else True
         if skipcovered and not grew:
             continue

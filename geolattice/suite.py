@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geolattice import suite_catalog
 from geolattice.functions import aggregates as A
 from geolattice.functions import columns as C
 from geolattice.functions import documents as D
@@ -71,25 +73,42 @@ for _name, _req, _where in [
     ("s_equals", {"filter": _op("s_equals", P("geometry"), [-170, -80, -165, -75])}, "xmin = -170 AND xmax = -165 AND ymin = -80 AND ymax = -75"),
     ("s_touches", {"filter": _op("s_touches", P("geometry"), [0, 0, 10, 10])}, "xmin <= 10 AND xmax >= 0 AND ymin <= 10 AND ymax >= 0 AND NOT (xmin < 10 AND xmax > 0 AND ymin < 10 AND ymax > 0)"),
     ("s_overlaps", {"filter": _op("s_overlaps", P("geometry"), [-50, -40, 50, 40])}, "xmin < 50 AND xmax > -50 AND ymin < 40 AND ymax > -40 AND NOT (xmin >= -50 AND xmax <= 50 AND ymin >= -40 AND ymax <= 40) AND NOT (xmin <= -50 AND xmax >= 50 AND ymin <= -40 AND ymax >= 40)"),
-    ("s_crosses", {"filter": _op("s_crosses", P("geometry"), [-50, -40, 50, 40])}, "FALSE"),
 ]:
     _search(_name, "events", _req, _where)
 
 _LO, _HI = "TIMESTAMP '2024-01-05 00:00:00'", "TIMESTAMP '2024-01-06 12:00:00'"
 for _name, _where in {
-    "t_before": "end_datetime < {lo}", "t_after": "datetime > {hi}", "t_meets": "end_datetime = {lo}", "t_metby": "datetime = {hi}",
-    "t_overlaps": "datetime < {lo} AND end_datetime > {lo} AND end_datetime < {hi}", "t_overlappedby": "datetime > {lo} AND datetime < {hi} AND end_datetime > {hi}",
-    "t_starts": "datetime = {lo} AND end_datetime < {hi}", "t_startedby": "datetime = {lo} AND end_datetime > {hi}", "t_during": "datetime > {lo} AND end_datetime < {hi}",
-    "t_contains": "datetime < {lo} AND end_datetime > {hi}", "t_finishes": "datetime > {lo} AND end_datetime = {hi}", "t_finishedby": "datetime < {lo} AND end_datetime = {hi}",
-    "t_equals": "datetime = {lo} AND end_datetime = {hi}", "t_disjoint": "NOT (datetime <= {hi} AND end_datetime >= {lo})", "t_intersects": "datetime <= {hi} AND end_datetime >= {lo}", "anyinteracts": "datetime <= {hi} AND end_datetime >= {lo}",
+    "t_before": "end_datetime < {lo}", "t_after": "datetime > {hi}",
+    "t_overlaps": "datetime < {lo} AND end_datetime > {lo} AND end_datetime < {hi}", "t_overlappedby": "datetime > {lo} AND datetime < {hi} AND end_datetime > {hi}", "t_during": "datetime > {lo} AND end_datetime < {hi}",
+    "t_contains": "datetime < {lo} AND end_datetime > {hi}", "t_disjoint": "NOT (datetime <= {hi} AND end_datetime >= {lo})", "t_intersects": "datetime <= {hi} AND end_datetime >= {lo}", "anyinteracts": "datetime <= {hi} AND end_datetime >= {lo}",
 }.items():
     _search(_name, "events", {"filter": _op(_name, P("datetime"), {"interval": ["2024-01-05T00:00:00Z", "2024-01-06T12:00:00Z"]})}, _where.format(lo=_LO, hi=_HI))
-# Equalities on times that orders do share, since no two events have one.
-for _op_name, _where in {
-    "t_meets": "end_datetime = {lo}", "t_metby": "datetime = {hi}", "t_starts": "datetime = {lo} AND end_datetime < {hi}", "t_startedby": "datetime = {lo} AND end_datetime > {hi}",
-    "t_finishes": "datetime > {lo} AND end_datetime = {hi}", "t_finishedby": "datetime < {lo} AND end_datetime = {hi}", "t_equals": "datetime = {lo} AND end_datetime = {hi}",
-}.items():
-    _search(f"{_op_name}_orders", "orders", {"filter": _op(_op_name, P("datetime"), {"interval": ["1998-11-16T00:00:00Z", "1998-12-11T00:00:00Z"]})}, _where.format(lo="TIMESTAMP '1998-11-16'", hi="TIMESTAMP '1998-12-11'"))
+
+
+def _around(op: str, source: str, one: int, lo: tuple[str, int], hi: tuple[str, int], where: str) -> None:
+    """A relation that needs equal times, with an interval made from one row's start or end and so many hours."""
+    items, cte, key = _VIEWS[source]
+    name = op if source == "events" else f"{op}_{source}"
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = items(spark, d)
+        row = rows.filter(F.col(key) == one).select("datetime", "end_datetime").first()
+        ends = [(row[c] + timedelta(hours=h)).isoformat() + "Z" for c, h in (lo, hi)]
+        return plan(rows, {"filter": _op(op, P("datetime"), {"interval": ends})}).matched.select(key)
+
+    QUERIES[name] = query
+    one_row = ", ".join(f"{c} + to_hours({h}) AS {n}" for n, (c, h) in (("lo", lo), ("hi", hi)))
+    SQL[name] = f"WITH {cte}, one AS (SELECT {one_row} FROM items WHERE {key} = {one}) SELECT {key} FROM items, one WHERE {where}"
+
+
+for _source, _one in (("events", 30), ("orders", 35)):
+    for _name, _lo, _hi, _where in [
+        ("t_meets", ("end_datetime", 0), ("end_datetime", 1), "end_datetime = lo"), ("t_metby", ("datetime", -1), ("datetime", 0), "datetime = hi"),
+        ("t_starts", ("datetime", 0), ("end_datetime", 1), "datetime = lo AND end_datetime < hi"), ("t_startedby", ("datetime", 0), ("end_datetime", -1), "datetime = lo AND end_datetime > hi"),
+        ("t_finishes", ("datetime", -1), ("end_datetime", 0), "datetime > lo AND end_datetime = hi"), ("t_finishedby", ("datetime", 1), ("end_datetime", 0), "datetime < lo AND end_datetime = hi"),
+        ("t_equals", ("datetime", 0), ("end_datetime", 0), "datetime = lo AND end_datetime = hi"),
+    ]:
+        _around(_name, _source, _one, _lo, _hi, _where)
 
 for _name, _req, _where in [
     ("cql2_like", {"filter": _op("like", P("p_name"), "%ring%")}, "p_name LIKE '%ring%'"),
@@ -235,16 +254,6 @@ def _(spark, d):
     return partition_stats(items).filter(partition_filter(env, lambda t: F.lit(t).cast("timestamp_ntz"))).select("collection", "dt_bucket", "n")
 
 
-@_define("extent_spatial", f"WITH {T.EVENTS} SELECT collection, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM items GROUP BY collection")
-def _(spark, d):
-    return T.events_as_items(spark, d).groupBy("collection").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
-
-
-@_define("extent_temporal", f"WITH {T.EVENTS} SELECT collection, min(datetime) AS lo, max(datetime) AS hi, max(end_datetime) AS end_hi FROM items GROUP BY collection")
-def _(spark, d):
-    return T.events_as_items(spark, d).groupBy("collection").agg(F.min("datetime").alias("lo"), F.max("datetime").alias("hi"), F.max("end_datetime").alias("end_hi"))
-
-
 @_define("first_notnull", f"WITH {T.EVENTS} SELECT collection, arg_min(m, datetime) FILTER (m IS NOT NULL) AS first_m FROM (SELECT *, json_extract_string(properties, '$.m') AS m FROM items) GROUP BY collection")
 def _(spark, d):
     items = T.events_as_items(spark, d).withColumn("m", F.get_json_object("properties", "$.m"))
@@ -292,82 +301,7 @@ def _(spark, d):
     return spark.createDataFrame([("k", q.get("minimum"), q.get("maximum"))], "name string, minimum double, maximum double")
 
 
-# Ingest, shapes of joins, sets
-
-_NEW = "(SELECT o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 100000000 END AS k, o_totalprice + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS price FROM orders)"
-
-
-def _batch(orders: DataFrame) -> DataFrame:
-    """Some rows that are there unchanged, some changed, some new."""
-    k = F.col("o_orderkey")
-    return orders.select((k + F.when(k % 2 == 0, 0).otherwise(100_000_000)).alias("k"), (F.col("o_totalprice") + F.when(k % 4 == 0, 1).otherwise(0)).alias("price"))
-
-
-def _stored(spark, d):
-    return T.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
-
-
-_OLD = "(SELECT o_orderkey AS k, o_totalprice AS price FROM orders)"
-
-
-@_define("ingest_insert", f"SELECT k, price FROM {_OLD} UNION ALL SELECT k, price FROM {_NEW} WHERE k >= 100000000")
-def _(spark, d):
-    return _stored(spark, d).unionByName(_batch(T.table(spark, d, "orders")).filter("k >= 100000000"))
-
-
-@_define("ingest_ignore", f"SELECT k, price FROM {_OLD} UNION ALL SELECT n.k, n.price FROM {_NEW} n LEFT JOIN {_OLD} o ON n.k = o.k WHERE o.k IS NULL")
-def _(spark, d):
-    old = _stored(spark, d)
-    return old.unionByName(_batch(T.table(spark, d, "orders")).join(old.select("k"), "k", "left_anti"))
-
-
-@_define("ingest_upsert", f"SELECT k, price FROM (SELECT o.k, coalesce(n.price, o.price) AS price FROM {_OLD} o LEFT JOIN {_NEW} n ON n.k = o.k) UNION ALL SELECT n.k, n.price FROM {_NEW} n LEFT JOIN {_OLD} o ON n.k = o.k WHERE o.k IS NULL")
-def _(spark, d):
-    old, new = _stored(spark, d), _batch(T.table(spark, d, "orders"))
-    changed = new.join(old.withColumnRenamed("price", "was"), "k", "left").filter(~F.col("price").eqNullSafe(F.col("was"))).select("k", "price")
-    return old.join(changed.select("k"), "k", "left_anti").unionByName(changed)
-
-
-@_define("ingest_delsert", f"SELECT o.k, o.price FROM {_OLD} o LEFT JOIN {_NEW} n ON n.k = o.k WHERE n.k IS NULL UNION ALL SELECT k, price FROM {_NEW}")
-def _(spark, d):
-    old, new = _stored(spark, d), _batch(T.table(spark, d, "orders"))
-    return old.join(new.select("k"), "k", "left_anti").unionByName(new)
-
-
-@_define("delete_tombstones", f"SELECT o.k AS item_id, o.price AS was FROM {_OLD} o JOIN {_NEW} n ON n.k = o.k WHERE n.price IS DISTINCT FROM o.price")
-def _(spark, d):
-    old, new = _stored(spark, d), _batch(T.table(spark, d, "orders"))
-    return old.withColumnRenamed("price", "was").join(new, "k").filter(~F.col("price").eqNullSafe(F.col("was"))).select(F.col("k").alias("item_id"), "was")
-
-
-def _fragments(spark, d):
-    return T.table(spark, d, "part").select("p_partkey", F.to_json(F.struct("p_brand", "p_type")).alias("frag")).withColumn("hash", F.sha2("frag", 256))
-
-
-_FRAG = """(SELECT p_partkey, '{"p_brand":"' || p_brand || '","p_type":"' || p_type || '"}' AS frag FROM part)"""
-
-
-@_define("fragment_dedup", f"SELECT sha256(frag) AS hash, frag AS content, count(*) AS n_items FROM {_FRAG} GROUP BY frag")
-def _(spark, d):
-    return _fragments(spark, d).groupBy("hash", F.col("frag").alias("content")).agg(F.count(F.lit(1)).alias("n_items"))
-
-
-@_define("hydrate_merge", """SELECT p_partkey, '{"p_brand":"' || p_brand || '","p_size":' || p_size || ',"p_type":"' || p_type || '"}' AS doc FROM part""")
-def _(spark, d):
-    items = _fragments(spark, d).select("p_partkey", "hash").join(T.table(spark, d, "part").select("p_partkey", F.to_json(F.struct("p_size")).alias("own")), "p_partkey")
-    frags = _fragments(spark, d).select("hash", F.col("frag").alias("content")).dropDuplicates(["hash"])
-
-    @F.pandas_udf("string")
-    def whole(base: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([D.canonical(D.merge(json.loads(b), json.loads(o))) for b, o in zip(base, own)], dtype=object)
-
-    return items.join(frags, "hash").select("p_partkey", whole("content", "own").alias("doc"))
-
-
-@_define("gc_fragments_anti", "SELECT p_type, count(*) AS removed FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) GROUP BY p_type")
-def _(spark, d):
-    used = T.table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return T.table(spark, d, "part").join(used, "p_partkey", "left_anti").groupBy("p_type").agg(F.count(F.lit(1)).alias("removed"))
+# Shapes of joins, sets
 
 
 def _oc(spark, d):
@@ -499,21 +433,58 @@ def _(spark, d):
     return plan(T.events_as_items(spark, d), {"bbox": list(tile_lonlat(3, 4, 3))}).matched.select("event_id")
 
 
-@_define("collection_search", "SELECT n_name AS id, r_name AS title FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') ORDER BY n_name LIMIT 10")
-def _(spark, d):
-    n, r = T.table(spark, d, "nation"), T.table(spark, d, "region")
-    at = F.to_timestamp_ntz(F.lit("2020-01-01 00:00:00"))
-    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.lit("collections").alias("collection"), at.alias("datetime"), at.alias("end_datetime"), F.col("r_name").alias("title"), F.lit("{}").alias("properties"))
-    return plan(rows, {"filter": _op("in", P("title"), ["ASIA", "EUROPE"])}, default_sort=("id", "asc")).page(10).select("id", "title")
+# Exact geometry: triangles and lines against a slanted convex polygon, which SQL can judge by half-planes
 
+_CORNERS = [(-60, -30), (40, -50), (60, 30), (-20, 45)]
+_SHAPE = {"type": "Polygon", "coordinates": [[list(map(float, c)) for c in (*_CORNERS, _CORNERS[0])]]}
+#: The triangle's corners, by columns of the item's box; the line goes from the first to the last.
+_TRIANGLE = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax")]
+
+
+def _side(k: int, x: str, y: str) -> str:
+    """Above 0 where a point lies inside of the polygon's side k, 0 on it."""
+    (ax, ay), (bx, by) = _CORNERS[k], _CORNERS[(k + 1) % 4]
+    return f"({bx - ax} * ({y} - ({ay})) - ({by - ay}) * ({x} - ({ax})))"
+
+
+_SIDES = [[_side(k, *c) for c in _TRIANGLE] for k in range(4)]
+_WITHIN = " AND ".join(f"{f} >= 0" for side in _SIDES for f in side)
 
-@_define("spatial_exact")
-def _(spark, d):
-    """Triangles against a slanted polygon: no SQL form without a geometry library."""
-    items = T.events_as_items(spark, d)
-    tri = F.concat(F.lit('{"type":"Polygon","coordinates":[[['), F.concat_ws(",", "xmin", "ymin"), F.lit("],["), F.concat_ws(",", "xmax", "ymin"), F.lit("],["), F.concat_ws(",", "xmax", "ymax"), F.lit("],["), F.concat_ws(",", "xmin", "ymin"), F.lit("]]]}"))
-    shape = {"type": "Polygon", "coordinates": [[[-60, -30], [40, -50], [60, 30], [-20, 45], [-60, -30]]]}
-    return plan(items.withColumn("geometry", tri), {"intersects": shape}).matched.select("event_id")
+
+def _apart(strict: bool) -> str:
+    """An axis parts triangle and polygon: a side of either. strict: with something between them."""
+    less = "<" if strict else "<="
+    sides = [f"greatest({', '.join(side)}) {less} 0" for side in _SIDES]
+    xs, ys, us = [x for x, _ in _CORNERS], [y for _, y in _CORNERS], [y - x for x, y in _CORNERS]
+    own = [f"{max(xs)} {less} xmin", f"xmax {less} {min(xs)}", f"{max(ys)} {less} ymin", f"ymax {less} {min(ys)}", f"greatest(ymin - xmin, ymax - xmax) {less} {min(us)}", f"{max(us)} {less} ymin - xmax"]
+    return " OR ".join(sides + own)
+
+
+def _geometry(kind: str, corners: list[tuple[str, str]]) -> Column:
+    points = F.concat_ws(",", *[F.concat(F.lit("["), F.concat_ws(",", *c), F.lit("]")) for c in corners])
+    head, tail = ("[[", "]]") if kind == "Polygon" else ("[", "]")
+    return F.concat(F.lit(f'{{"type":"{kind}","coordinates":{head}'), points, F.lit(f"{tail}}}"))
+
+
+def _exact(name: str, op: str, kind: str, where: str) -> None:
+    corners = [*_TRIANGLE, _TRIANGLE[0]] if kind == "Polygon" else [_TRIANGLE[0], _TRIANGLE[2]]
+    request = {"intersects": _SHAPE} if op == "intersects" else {"filter": _op(op, P("geometry"), _SHAPE)}
+    QUERIES[name] = lambda spark, d: plan(T.events_as_items(spark, d).withColumn("geometry", _geometry(kind, corners)), request).matched.select("event_id")
+    SQL[name] = f"WITH {T.EVENTS} SELECT event_id FROM items WHERE {where}"
+
+
+_exact("spatial_exact", "intersects", "Polygon", f"NOT ({_apart(True)})")
+_exact("triangle_disjoint", "s_disjoint", "Polygon", _apart(True))
+_exact("triangle_within", "s_within", "Polygon", _WITHIN)
+_exact("triangle_overlaps", "s_overlaps", "Polygon", f"NOT ({_apart(False)}) AND NOT ({_WITHIN})")
+_exact("triangle_touches", "s_touches", "Polygon", f"NOT ({_apart(True)}) AND ({_apart(False)})")
+_FROM, _TO = [s[0] for s in _SIDES], [s[2] for s in _SIDES]
+_IN = [f"CASE WHEN {b} > {a} THEN -{a} / ({b} - {a}) ELSE 0 END" for a, b in zip(_FROM, _TO)]
+_OUT = [f"CASE WHEN {b} < {a} THEN {a} / ({a} - {b}) ELSE 1 END" for a, b in zip(_FROM, _TO)]
+_INSIDE = f"greatest(0, {', '.join(_IN)}) < least(1, {', '.join(_OUT)}) AND " + " AND ".join(f"NOT ({a} = {b} AND {a} <= 0)" for a, b in zip(_FROM, _TO))
+_CLOSED = " AND ".join(f"{f} >= 0" for f in (*_FROM, *_TO))
+_exact("s_crosses", "s_crosses", "LineString", f"{_INSIDE} AND NOT ({_CLOSED})")
+_exact("line_within", "s_within", "LineString", f"{_CLOSED} AND {_INSIDE}")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,3 +495,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["search_flagship"] = entry
 SQL["search_flagship"] = f"WITH {T.EVENTS} SELECT id, collection, datetime, end_datetime, value, properties FROM items WHERE collection = 'click' AND datetime <= TIMESTAMP '2024-01-10' AND end_datetime >= TIMESTAMP '2024-01-05' AND value > 50 ORDER BY datetime DESC, id DESC LIMIT 10"
+
+QUERIES |= suite_catalog.QUERIES
+SQL |= suite_catalog.SQL
