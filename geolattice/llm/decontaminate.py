@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from geolattice.llm._store import documents, shipped
-from geolattice.llm._text import slices, texts_of, tidy, words_of
+from geolattice.llm._text import give_back, slices, texts_of, tidy, words_of
 
 WINDOW, MIN_SHARE, MIN_LCS, SURE_LCS, MAX_DF, FEW = 64, 0.2, 0.6, 0.8, 0.2, 20
 RANK, OVERSAMPLE, POWER, ITEMS_PER_PASS, MIN_WORDS = 256, 16, 2, 4096, 6
@@ -191,6 +191,7 @@ def build(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col:
                 part = slice(first, k + 1)
                 out.append(_index(spark, by_word, ids[part], texts[part], words[part]))
                 first, held = k + 1, 0
+    give_back()
     return out
 
 
