@@ -22,9 +22,10 @@ def test_flagship(spark):
     assert df.columns == ["id", "collection", "datetime", "end_datetime", "value", "properties"] and df.count() <= 10
 
 
-def test_without_the_training_data_part(tmp_path):
-    """The rest imports and keeps its queries where that part was taken away."""
-    for name in ("geolattice", "__spark_entry__.py"):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_without_the_training_data_part(tmp_path, left):
+    """The rest imports and keeps its queries where that part was taken away, with the pipeline's file or without."""
+    for name in ("geolattice", "__spark_entry__.py", *(x for x in left if (ROOT / x).exists())):
         (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
     shutil.rmtree(tmp_path / "geolattice/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; n = e.queries(); assert 'pipeline' not in n and 'search_ids' in n and not any(x.startswith('op') for x in n); assert set(e.oracle_sql()) <= set(n)"
