@@ -10,8 +10,8 @@ repeat is the union of such strings, so what remains are the runs unique to a pa
 Plan: one shuffle, of the plain text by host.  A host of more than `BLOCK_CHARS` of
 markup, which one task couldn't hold, is dealt to blocks by hash of the page.  Each block
 has its suffix array; fingerprints (64 bits) of the strings are made where the pages lie,
-counted over the host's blocks, and those found in several go to the blocks, so that the
-result is the same as from one array.  Hosts that fit take no part in that exchange.
+sent as packed lists by slices of their range, and those found in several blocks go to
+these, so that the result is the same as from one array.  Hosts that fit take no part in that exchange.
 
 Markup: comments go, and script, style, noscript, template, textarea, title, svg and
 iframe elements with what is in them.  Where such an element isn't closed, a script or
@@ -28,6 +28,7 @@ empty table gives no rows; very long pages are handled whole; other columns are
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import numpy as np
@@ -180,12 +181,30 @@ class Stream:
         return pa.chunked_array(parts, pa.string()), n
 
 
+def packed(sorted_prints: np.ndarray) -> bytes:
+    """Ascending fingerprints as differences, each in as few bytes as the largest takes."""
+    step = np.diff(sorted_prints, prepend=np.uint64(0))
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return bytes([width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 def _blocks(pages: DataFrame, block_chars: int, url_col: str, html_col: str) -> DataFrame:
     """host, blocks of hosts too large for one task."""
     sizes = pages.groupBy(_host(F.col(url_col)).alias("host")).agg(F.sum(F.length(html_col)).alias("chars"))
     return sizes.filter(F.col("chars") > block_chars).select("host", F.ceil(F.col("chars") / block_chars).cast("int").alias("blocks"))
 
 
+#: Fingerprints that a task looks through for those of several blocks, about.
+SLICE_PRINTS = 2_000_000
+
+
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
@@ -203,7 +222,8 @@ def unique_text(pages: DataFrame, min_words: int = MIN_WORDS, block_chars: int =
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(text, pa.large_string()).cast(pa.string())], names=["id", "page_key", "host", "block", "split", "text"])
 
     texts = rows.mapInArrow(tidy(strip), f"id {kind}, page_key long, host string, block long, split boolean, text string")
-    split_hosts = large.limit(1).count() > 0
+    blocks = large.agg(F.sum("blocks")).first()[0] or 0
+    split_hosts = blocks > 0
 
     def runs(table: pa.Table, known: np.ndarray | None) -> pa.Table:
         s = Stream(table.column("text"), table.column("page_key").to_numpy(), min_words)
@@ -218,24 +238,45 @@ def unique_text(pages: DataFrame, min_words: int = MIN_WORDS, block_chars: int =
     if not split_hosts:
         return whole
 
+    bits = min(24, max(3, math.ceil(math.log2(max(1, blocks) * block_chars / 5 / SLICE_PRINTS))))  # words have five letters and more
+
     def prints(batches):
-        """Fingerprints of a block's strings, those of a host apart from those of others."""
+        """A block's strings by slices of their fingerprints, those of a host apart from those of others."""
         for b in batches:
             if not b.num_rows:
                 continue
             s = Stream(pa.chunked_array([b.column(2)]), b.column(1).to_numpy(), min_words)
             at = np.flatnonzero(s.inside)
-            own = s.prints(min_words)[at] ^ b.column(3).to_numpy().view(np.uint64)[s.row[at]]
-            both = np.unique(np.stack([own, b.column(0).to_numpy().view(np.uint64)[s.row[at]]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64))], names=["fp", "slot"])
+            row = s.row[at]
+            own, slots, inverse = s.prints(min_words)[at] ^ b.column(3).to_numpy().view(np.uint64)[row], *np.unique(b.column(0).to_numpy(), return_inverse=True)
+            slot, out = inverse[row], []
+            for k in range(len(slots)):
+                fp = np.unique(own[slot == k])
+                part = fp >> np.uint64(64 - bits)
+                starts = np.flatnonzero(np.diff(part, prepend=~part[:1]))
+                out += [(int(part[i]), int(slots[k]), packed(fp[i:j])) for i, j in zip(starts, [*starts[1:], len(fp)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], names=["part", "slot", "fps"])
+
+    def repeated(table: pa.Table) -> pa.Table:
+        """Of a slice, the fingerprints that several blocks have, for each of these."""
+        lists = [unpacked(x) for x in table.column("fps").to_pylist()]
+        slots, which = np.unique(table.column("slot").to_numpy(), return_inverse=True)
+        slot, fp = np.repeat(which, [len(x) for x in lists]), np.concatenate(lists)
+        order = np.argsort(fp, kind="stable")
+        fp, slot = fp[order], slot[order]
+        starts = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+        many = np.repeat(np.minimum.reduceat(slot, starts) != np.maximum.reduceat(slot, starts), np.diff(np.append(starts, len(fp))))
+        fp, slot = fp[many], slot[many]
+        out = [(int(slots[k]), packed(np.unique(fp[slot == k]))) for k in np.unique(slot)]
+        return pa.table({"slot": pa.array([x for x, _ in out], pa.int64()), "fps": pa.array([x for _, x in out], pa.binary())})
 
     parts = texts.filter("split").withColumn("slot", F.xxhash64("host", "block")).withColumn("host_key", F.xxhash64("host"))
-    found = parts.select("slot", "page_key", "text", "host_key").mapInArrow(tidy(prints), "fp long, slot long")
-    shared = found.groupBy("fp").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.collect_set("slot").alias("slots")).filter("lo <> hi").select(F.explode("slots").alias("slot"), "fp")
+    found = parts.select("slot", "page_key", "text", "host_key").mapInArrow(tidy(prints), "part long, slot long, fps binary")
+    shared = found.groupBy("part").applyInArrow(repeated, "slot long, fps binary")
 
     def among(table: pa.Table, known: pa.Table) -> pa.Table:
         key = np.uint64(table.column("host_key")[0].as_py() & 0xFFFFFFFFFFFFFFFF) if table.num_rows else np.uint64(0)
-        return runs(table, known.column("fp").to_numpy().view(np.uint64) ^ key)
+        return runs(table, np.concatenate([np.zeros(0, np.uint64), *map(unpacked, known.column("fps").to_pylist())]) ^ key)
 
     return whole.unionByName(parts.groupBy("slot").cogroup(shared.groupBy("slot")).applyInArrow(among, schema))
 

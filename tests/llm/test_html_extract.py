@@ -56,6 +56,16 @@ def test_blocks_of_a_large_host_give_the_same(spark):
     assert split == whole and {k: v[0] for k, v in whole.items()} == expected(rows, 4)
 
 
+def test_packed_fingerprints():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 1000):
+        for top in (1 << 8, 1 << 40, (1 << 64) - 1):
+            x = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            assert (H.unpacked(H.packed(x)) == x).all()
+
+
 def test_markup():
     page = '<html><head><title>T</title><script>var t="</p>";x(0);</script></head><!-- ad --><body><p>a <b>b</b>c &amp; d<br>e<div title="x>y">f</div><style>p{}</style>g</body>'
     assert H.plain(page) == "a bc & d e f g"
