@@ -15,7 +15,9 @@
 
 Equal vectors are a class from the start.  The number of vectors decides only into how
 many shares (by a substring's leading bits) a table is dealt; a vector goes to its own
-share and is looked up in those whose leading bits are within `FLIPS` of its own.
+share and is looked up in those whose leading bits are within `FLIPS` of its own.  A
+share that holds more than `HOT` times its part, as of very many near copies of one
+vector, is cut to several tasks (`_shares`).
 
 The result has a row for each row of the table: class_id is the least id of the equal
 vectors, n_links the number of other, different vectors within the cosine.
@@ -38,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolattice.llm._shares import ASKING, HELD, counted, dealt, parts_of
 from geolattice.llm._store import documents, keep
 
 MIN_COSINE, WITHIN, PARTS, FLIPS, STEPS = 0.95, 18, 4, 2, 12
@@ -45,6 +48,8 @@ MIN_COSINE, WITHIN, PARTS, FLIPS, STEPS = 0.95, 18, 4, 2, 12
 SAMPLE_FLOATS = 4_000_000
 #: Vectors that the table of a task holds, about.
 INDEX_ROWS = 250_000
+#: A table's share of more than so many times that is dealt to several tasks.
+HOT = 4
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -95,26 +100,43 @@ def links(vectors: DataFrame, n: int, mean: np.ndarray, project: np.ndarray, min
         x = v.astype(np.float64)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
+    def held(batches):
+        total = np.zeros((len(spans), 1 << high), np.int64)
+        for b in batches:
+            if b.num_rows:
+                code = codes(unit(_matrix(b.column(0))), mean, project)
+                total += counted([_part(code, (low + width - high, high)) for low, width in spans], high)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["at", "n"])
+
+    sums = vectors.select("v").mapInArrow(held, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT * index_rows).toArrow()  # hot shares
+    rows_of = np.zeros(len(spans) << high, np.int64)
+    rows_of[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    cells = parts_of(rows_of, HOT * index_rows).reshape(len(spans), -1)
+    fields = "place int, share int, cell long, role int, number long, code long, v array<float>"
+
     def send(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            code = codes(unit(_matrix(b.column(1))), mean, project)
+            code, numbers = codes(unit(_matrix(b.column(1))), mean, project), b.column(0).to_numpy()
             for place, (low, width) in enumerate(spans):
-                top = _part(code, (low + width - high, high))
+                own = _part(code, (low + width - high, high))
                 for r in reach:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), place, np.int32)), pa.array((top ^ np.uint64(r)).astype(np.int32)), b.column(0), pa.array(code.view(np.int64)), b.column(1)], names=["place", "share", "number", "code", "v"])
+                    share = (own ^ np.uint64(r)).astype(np.int32)
+                    for rows, cell, role in dealt(share, r == 0, numbers, cells[place]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), place, np.int32)), pa.array(share[rows]), pa.array(cell), pa.array(np.full(len(rows), role, np.int32)), pa.array(numbers[rows]), pa.array(code[rows].view(np.int64)), b.column(1).take(pa.array(rows))], names=[f.split()[0] for f in fields.split(", ")])
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         place, share = key[0].as_py(), key[1].as_py()
         span = spans[place]
-        numbers, code = table.column("number").to_numpy(), table.column("code").to_numpy().view(np.uint64)
+        numbers, code, role = table.column("number").to_numpy(), table.column("code").to_numpy().view(np.uint64), table.column("role").to_numpy()
         x, rest = _matrix(table.column("v")), span[1] - high
         size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
         part = _part(code, span)
         away = np.bitwise_count((part >> np.uint64(rest)) ^ np.uint64(share)).astype(np.int64)
         key_low = (part & np.uint64((1 << rest) - 1)).astype(np.int64)
-        own = np.flatnonzero(away == 0)
+        own = np.flatnonzero((away == 0) & (role != ASKING))
         own = own[np.argsort(key_low[own], kind="stable")]
         begin = np.concatenate([[0], np.cumsum(np.bincount(key_low[own], minlength=1 << rest))])
         found = np.zeros(len(numbers), np.int64)
@@ -132,7 +154,7 @@ def links(vectors: DataFrame, n: int, mean: np.ndarray, project: np.ndarray, min
                 np.add.at(found, a[cosine >= min_cosine], 1)
 
         for f in range(FLIPS + 1):
-            query = np.flatnonzero(away + f <= FLIPS)
+            query = np.flatnonzero((away + f <= FLIPS) & (role != HELD))
             for c in combinations(range(rest), f):
                 wanted = key_low[query] ^ sum(1 << k for k in c)
                 held = begin[wanted + 1] - begin[wanted]
@@ -150,8 +172,8 @@ def links(vectors: DataFrame, n: int, mean: np.ndarray, project: np.ndarray, min
         some = np.flatnonzero(found)
         return pa.table({"number": numbers[some], "n": found[some]})
 
-    sent = vectors.select("number", "v").mapInArrow(send, "place int, share int, number long, code long, v array<float>")
-    return sent.groupBy("place", "share").applyInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n_links"))
+    sent = vectors.select("number", "v").mapInArrow(send, fields)
+    return sent.groupBy("place", "share", "cell").applyInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n_links"))
 
 
 def near_copies(table: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id", vector_col: str = "embedding", index_rows: int = INDEX_ROWS) -> DataFrame:

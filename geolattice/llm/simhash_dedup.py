@@ -17,9 +17,13 @@ the substrings within `FLIPS` bits.  In each index the fingerprints of one subst
 sorted by Gray rank, in which neighbours share long bit patterns, and put under a tree
 of eight-way nodes: a node holds the bits that all below it share, as mask and pattern,
 less those its parent holds.  A search carries the bits that differ so far and drops a
-node, with all below it, once they exceed `WORD_BITS`.  Nothing is cut off: each
-fingerprint searches, however many partners it has, and what comes out is a forest of
-links, not all pairs.
+node, with all below it, once they exceed `WORD_BITS`, or once all below it is known to
+be of the search's own group.  Nothing is cut off: each fingerprint searches, however
+many partners it has, and what comes out is a forest of links, not all pairs.
+
+A group of very many near copies shares substrings.  Its members are linked to some of
+them first, so that most of its pairs are never looked at, and an index that holds more
+than `HOT` times its part is cut to several tasks (`_shares`).
 
 Equal fingerprints are one from the start.  Links are joined to groups by distributed
 connected components, and the least id of each group stays.  Inside, a fingerprint goes
@@ -42,6 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolattice.llm._shares import ASKING, HELD, counted, dealt, parts_of
 from geolattice.llm._store import documents, fresh, keep
 from geolattice.llm._text import encoded, hash_words, reduce_rows, slices, texts_of, tidy, words_of
 from geolattice.llm.components import components
@@ -49,6 +54,8 @@ from geolattice.llm.components import components
 MAX_BITS, WORD_BITS, PARTS, FLIPS = 52, 14, 4, 1
 #: Fingerprints that an index task holds, about.
 INDEX_ROWS = 250_000
+#: An index of more than so many times that is dealt to several tasks.
+HOT = 4
 FAN = 8
 _SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 
@@ -135,33 +142,52 @@ class GrayTree:
             built.append((pattern, mask, np.append(starts, len(place))))
         self.keys, self.levels = keys, built[::-1]
 
-    def search(self, q: np.ndarray, node: np.ndarray, words: np.ndarray, most: int):
-        """Pairs (index into words, entry) within `most` bits, in pieces; node: the root to start each q at."""
+    def known(self, labels: np.ndarray) -> None:
+        """Notes which nodes hold entries of one label only; merging labels doesn't change that."""
+        at = self.order
+        low = high = labels[at]
+        self.one = [(np.ones(len(at), bool), at)]
+        for _, _, starts in self.levels[-2::-1]:
+            first = starts[:-1]
+            low, high, at = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), at[first]
+            self.one.append((low == high, at))
+        self.one.reverse()
+
+    def search(self, q: np.ndarray, node: np.ndarray, words: np.ndarray, most: int, labels: np.ndarray, own: np.ndarray):
+        """Pairs (index into words, entry) within `most` bits whose labels differ, in pieces; node: the root to start each q at.
+
+        labels, of words, may be merged in place between the pieces; own: place of each entry among words.
+        """
         pattern, mask, _ = self.levels[0]
         far = np.bitwise_count((words[q] ^ pattern[node]) & mask[node])
         ok = far <= most
-        yield from self._down(0, q[ok], node[ok], far[ok].astype(np.uint8), words, most)
+        yield from self._down(0, q[ok], node[ok], far[ok].astype(np.uint8), words, most, labels, own)
 
-    def _down(self, level: int, q, node, far, words, most):
+    def _down(self, level: int, q, node, far, words, most, labels, own):
         if not len(q):
             return
+        one, entry = self.one[level]
+        apart = ~one[node] | (labels[own[entry[node]]] != labels[q])
+        q, node, far = q[apart], node[apart], far[apart]
         pattern, mask, starts = self.levels[level]
         if starts is None:
             yield q, self.order[node]
             return
         n = starts[node + 1] - starts[node]
         ends = np.cumsum(n)
-        if ends[-1] > 4_000_000 and len(q) > 1:  # held in memory piece by piece
+        if len(q) > 1 and ends[-1] > 1_000_000:  # held in memory piece by piece
             half = max(1, min(len(q) - 1, int(np.searchsorted(ends, ends[-1] // 2))))
-            yield from self._down(level, q[:half], node[:half], far[:half], words, most)
-            yield from self._down(level, q[half:], node[half:], far[half:], words, most)
+            yield from self._down(level, q[:half], node[:half], far[:half], words, most, labels, own)
+            yield from self._down(level, q[half:], node[half:], far[half:], words, most, labels, own)
+            return
+        if not len(q):
             return
         child = np.repeat(starts[node] - np.concatenate([[0], ends[:-1]]), n) + np.arange(ends[-1])
         up, q, far = np.repeat(node, n), np.repeat(q, n), np.repeat(far, n)
         below, below_mask, _ = self.levels[level + 1]
         far = far + np.bitwise_count((words[q] ^ below[child]) & (below_mask[child] & ~mask[up])).astype(np.uint8)
         ok = far <= most
-        yield from self._down(level + 1, q[ok], child[ok], far[ok], words, most)
+        yield from self._down(level + 1, q[ok], child[ok], far[ok], words, most, labels, own)
 
 
 def _link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,6 +207,28 @@ def _link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = labels[a], labels[b]
 
 
+def _gather(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fp: np.ndarray, word: int, max_bits: int, word_bits: int, least: int = 64) -> dict[int, int]:
+    """Links rows of equal key to some of them, as long as each takes in an eighth of its key's rows; rows are sorted by key.
+
+    Only pairs that are near copies are linked, so this changes the work that is left, not
+    the result.  Gives the first of these rows for the keys that have many.
+    """
+    heads: dict[int, int] = {}
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    for a, b in zip(starts, [*starts[1:], len(keys)]):
+        left = rows[a:b]
+        while len(left) > least:
+            head = left[len(left) // 2]
+            apart = np.bitwise_count(fp[left] ^ fp[head])
+            near = (apart[:, word] <= word_bits) & (apart.sum(1, dtype=np.int64) <= max_bits)
+            labels[:] = _link(labels, left[near], np.full(near.sum(), head))
+            heads.setdefault(int(keys[a]), int(head))
+            if near.sum() * 8 < len(left):
+                break
+            left = left[~near]
+    return heads
+
+
 def share_bits(n: int, width: int, index_rows: int = INDEX_ROWS) -> int:
     """Leading bits of a substring that share out its index: four shares at least."""
     return min(width - 2, max(2, math.ceil(math.log2(max(1, n / index_rows)))))
@@ -199,45 +247,72 @@ def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, word_bits: int =
     reach = [sum(1 << k for k in c) for f in range(min(flips, high) + 1) for c in combinations(range(high), f)]
     places = [(word, part) for word in range(4) for part in range(m)]
 
+    fields = "place int, share int, cell long, role int, id long, w0 long, w1 long, w2 long, w3 long"
+
+    def top(words: np.ndarray, part: int) -> np.ndarray:
+        low, width = parts[part]
+        return (words.view(np.uint64) >> np.uint64(low + width - high)) & np.uint64((1 << high) - 1) if high else np.zeros(len(words), np.uint64)
+
+    def count(batches):
+        total = np.zeros((len(places), 1 << high), np.int64)
+        for b in batches:
+            words = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            total += counted([top(words[word], part) for word, part in places], high)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["at", "n"])
+
+    sums = prints.select("w0", "w1", "w2", "w3").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT * index_rows).toArrow()  # hot shares
+    held = np.zeros(len(places) << high, np.int64)
+    held[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    cells = parts_of(held, HOT * index_rows).reshape(len(places), -1)
+
     def send(batches):
         for b in batches:
             cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             for place, (word, part) in enumerate(places):
-                low, width = parts[part]
-                top = (cols[1 + word].view(np.uint64) >> np.uint64(low + width - high)) & np.uint64((1 << high) - 1) if high else np.zeros(len(cols[0]), np.uint64)
+                own = top(cols[1 + word], part)
                 for r in reach:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), place, np.int32)), pa.array((top ^ np.uint64(r)).astype(np.int32)), *map(pa.array, cols)], names=["place", "share", "id", "w0", "w1", "w2", "w3"])
+                    share = (own ^ np.uint64(r)).astype(np.int32)
+                    for rows, cell, role in dealt(share, r == 0, cols[0], cells[place]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), place, np.int32)), pa.array(share[rows]), pa.array(cell), pa.array(np.full(len(rows), role, np.int32)), *(pa.array(c[rows]) for c in cols)], names=[f.split()[0] for f in fields.split(", ")])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         place, share = key[0].as_py(), key[1].as_py()
         word, part = places[place]
         low, width = parts[part]
-        ids = table.column("id").to_numpy()
+        ids, role = table.column("id").to_numpy(), table.column("role").to_numpy()
         fp = np.stack([table.column(f"w{k}").to_numpy().view(np.uint64) for k in range(4)], axis=1)
         sub = (fp[:, word] >> np.uint64(low)) & np.uint64((1 << width) - 1)
         rest = width - high
         away = np.bitwise_count((sub >> np.uint64(rest)) ^ np.uint64(share)).astype(np.int64)
         key_low = (sub & np.uint64((1 << rest) - 1)).astype(np.int64)
-        own = np.flatnonzero(away == 0)
-        tree = GrayTree(key_low[own], fp[own, word])
-        labels = np.arange(len(ids))
-        for f in range(flips + 1):
-            query = np.flatnonzero(away + f <= flips)
+        own = np.flatnonzero((away == 0) & (role != ASKING))
+        tree, words, labels = GrayTree(key_low[own], fp[own, word]), np.ascontiguousarray(fp[:, word]), np.arange(len(ids))
+        here = np.flatnonzero(away == 0)
+        here = here[np.argsort(key_low[here], kind="stable")]
+        heads = _gather(labels, here, key_low[here], fp, word, max_bits, word_bits)
+        head = np.array([heads.get(k, -1) for k in tree.keys.tolist()], np.int64)
+        for f in range(flips + 1) if len(own) else ():
+            query = np.flatnonzero((away + f <= flips) & (role != HELD))
             for c in combinations(range(rest), f):
                 wanted = key_low[query] ^ sum(1 << k for k in c)
-                root = np.minimum(np.searchsorted(tree.keys, wanted), len(tree.keys) - 1) if len(tree.keys) else wanted
-                hit = np.flatnonzero(tree.keys[root] == wanted) if len(tree.keys) else np.zeros(0, np.int64)
-                for q, entry in tree.search(query[hit], root[hit], fp[:, word], word_bits):
+                root = np.minimum(np.searchsorted(tree.keys, wanted), len(tree.keys) - 1)
+                hit = np.flatnonzero(tree.keys[root] == wanted)
+                first = hit[head[root[hit]] >= 0]  # those that are near the head of a crowd are of its group
+                q, to = query[first], head[root[first]]
+                apart = np.bitwise_count(fp[q] ^ fp[to])
+                near = (apart[:, word] <= word_bits) & (apart.sum(1, dtype=np.int64) <= max_bits)
+                labels[:] = _link(labels, q[near], to[near])
+                tree.known(labels[own])
+                for q, entry in tree.search(query[hit], root[hit], words, word_bits, labels, own):
                     entry = own[entry]
-                    new = labels[q] != labels[entry]
-                    q, entry = q[new], entry[new]
                     near = np.bitwise_count(fp[q] ^ fp[entry]).sum(1, dtype=np.int64) <= max_bits
-                    labels = _link(labels, q[near], entry[near])
+                    labels[:] = _link(labels, q[near], entry[near])
         moved = np.flatnonzero(labels != np.arange(len(ids)))
         return pa.table({"a": ids[moved], "b": ids[labels[moved]]})
 
-    sent = prints.select("id", "w0", "w1", "w2", "w3").mapInArrow(send, "place int, share int, id long, w0 long, w1 long, w2 long, w3 long")
-    return sent.groupBy("place", "share").applyInArrow(join, "a long, b long")
+    sent = prints.select("id", "w0", "w1", "w2", "w3").mapInArrow(send, fields)
+    return sent.groupBy("place", "share", "cell").applyInArrow(join, "a long, b long")
 
 
 def copies(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:

@@ -29,7 +29,7 @@ def clusters(seed, n=600, near=400, width=64):
     return np.vstack([base, close, crowd, base[:5]]).astype(np.float32)
 
 
-@pytest.mark.parametrize("index_rows", [E.INDEX_ROWS, 200, 20])
+@pytest.mark.parametrize("index_rows", [E.INDEX_ROWS, 200, 20, 4])
 def test_same_as_sql_whatever_the_shares(spark, index_rows):
     """Classes, and all links of each vector, as brute force counts them."""
     rows = list(enumerate(clusters(0).tolist()))

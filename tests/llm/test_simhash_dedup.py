@@ -40,10 +40,16 @@ def test_tree_finds_all_and_only_near_words():
     words = np.unique(np.concatenate([base, *[np.bitwise_xor.reduce(flips[:, :k], axis=1) ^ base for k in range(1, 12)]]))
     tree = S.GrayTree(np.zeros(len(words), np.int64), words)
     got = set()
-    for q, e in tree.search(np.arange(len(words)), np.zeros(len(words), np.int64), words, 9):
+    every = np.arange(len(words))
+    tree.known(every)
+    for q, e in tree.search(every, np.zeros(len(words), np.int64), words, 9, np.full(len(words), -1), every):
+        got |= set(zip(q.tolist(), e.tolist()))
+    assert got == set()  # all of one label: nothing to look for
+    tree.known(every)
+    for q, e in tree.search(every, np.zeros(len(words), np.int64), words, 9, every.copy(), every):
         got |= set(zip(q.tolist(), e.tolist()))
     d = np.bitwise_count(words[:, None] ^ words[None])
-    assert got == set(zip(*(x.tolist() for x in np.nonzero(d <= 9))))
+    assert got == {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(d <= 9))) if a != b}
 
 
 def near(fp):
@@ -59,7 +65,7 @@ def groups_of(fp):
     return S._link(np.arange(len(fp)), *near(fp))
 
 
-@pytest.mark.parametrize("index_rows", [S.INDEX_ROWS, 50, 3])
+@pytest.mark.parametrize("index_rows", [S.INDEX_ROWS, 50, 3, 1])
 def test_groups_against_brute_force(spark, docs, index_rows):
     """The same, complete groups however many tasks share an index."""
     texts = corpus(3) + ["other words " * 3, "other words " * 4]
@@ -69,7 +75,7 @@ def test_groups_against_brute_force(spark, docs, index_rows):
     assert got == want and len(want) > 40
 
 
-@pytest.mark.parametrize(("n", "index_rows"), [(3000, S.INDEX_ROWS), (10**6, S.INDEX_ROWS), (10**10, S.INDEX_ROWS)])
+@pytest.mark.parametrize(("n", "index_rows"), [(3000, S.INDEX_ROWS), (10**6, S.INDEX_ROWS), (10**8, S.INDEX_ROWS)])
 def test_links_do_not_depend_on_the_number_of_documents(spark, n, index_rows):
     """Pairs at every distance up to MAX_BITS, searched as n fingerprints would be: all that are near by definition, nine in ten of all."""
     rng = np.random.default_rng(4)
@@ -82,11 +88,35 @@ def test_links_do_not_depend_on_the_number_of_documents(spark, n, index_rows):
     table = spark.createDataFrame([(k, *row) for k, row in enumerate(fp.view(np.int64).tolist())], "id long, w0 long, w1 long, w2 long, w3 long").repartition(2)
     got = {(min(r), max(r)) for r in S.links(table, n, index_rows=index_rows).collect()}
     a, b = near(fp)
-    assert got == set(zip(a.tolist(), b.tolist()))
+    assert got == set(zip(a.tolist(), b.tolist()))  # each fingerprint has one partner at most
     assert np.mean([(k, pairs + k) in got for k in range(pairs)]) >= 0.9
     assert np.mean([(k, pairs + k) in got for k in range(0, pairs, 20)]) >= 0.85
 
 
+@pytest.mark.parametrize("index_rows", [S.INDEX_ROWS, 100])
+def test_a_crowd_of_near_copies_that_all_differ(spark, index_rows):
+    """Thousands within a few bits of one fingerprint, a chain that leads away from it, and others: the groups of brute force."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, 256, np.uint8)
+    crowd = np.repeat(base[None], 4000, 0)
+    for row in crowd:
+        row[rng.choice(256, rng.integers(1, 12), replace=False)] ^= 1
+    chain = [base.copy()]
+    for _ in range(6):
+        step = chain[-1].copy()
+        step[rng.choice(256, 25, replace=False)] ^= 1
+        chain.append(step)
+    bits = np.unique(np.concatenate([crowd, chain, rng.integers(0, 2, (500, 256), np.uint8)]), axis=0)
+    rng.shuffle(bits)
+    fp = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    table = spark.createDataFrame([(k, *row) for k, row in enumerate(fp.view(np.int64).tolist())], "id long, w0 long, w1 long, w2 long, w3 long").repartition(3)
+    found = S.links(table, len(fp), index_rows=index_rows)
+    assert found.count() < 40 * 16 * len(fp)  # not all pairs
+    got = {r["id"]: r["root"] for r in components(found).collect()}
+    want = groups_of(fp)
+    assert [got.get(k, k) for k in range(len(fp))] == want.tolist() and (want == want[list(want).index(np.bincount(want).argmax())]).sum() > 3700
+
+
 def test_ids_of_any_type(spark, docs):
     from pyspark.sql import functions as F
 
