@@ -9,8 +9,10 @@ Plan: one pass over the texts in Arrow batches, whose only shuffle is (length, c
 the sums run over distinct lengths, of which there are at most as many as tokens in the
 longest document.
 
-Defined results: null and empty texts have length 0; repeated rows count each; an empty
-table gives no rows; texts are encoded whole; other columns are not read.
+Defined results: null and empty texts have length 0; documents of equal length are one
+row, whose count says how many; a document exactly as long as a limit fits; repeated
+rows count each; an empty table gives no rows; texts are encoded whole, however long;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
