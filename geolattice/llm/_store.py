@@ -48,6 +48,14 @@ def forget(*tables: DataFrame) -> None:
             where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands rows to Python workers by 16 MB at a time, not by Spark's 64; long texts would else take several times that outside of the heap. Another setting of the session's own stays."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) == "67108864b":
+        conf.set(name, "16m")
+    return df
+
+
 def shipped(spark: SparkSession, value):
     """A broadcast of value, pickled with its classes, so that workers need no copy of this package; the result, called there, gives it."""
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geolattice.llm._store import small_batches
 from geolattice.llm._text import texts_of, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,4 +33,4 @@ def with_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in texts_of(b.column(1)).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=[id_col, out])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, `{out}` long")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, `{out}` long")

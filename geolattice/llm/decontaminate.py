@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from geolattice.llm._store import documents, shipped
+from geolattice.llm._store import documents, shipped, small_batches
 from geolattice.llm._text import give_back, slices, texts_of, tidy, words_of
 
 WINDOW, MIN_SHARE, MIN_LCS, SURE_LCS, MAX_DF, FEW = 64, 0.2, 0.6, 0.8, 0.2, 20
@@ -95,7 +95,7 @@ def frequencies(docs: DataFrame, vocabulary: pa.Array, text_col: str = "text") -
         df = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("df"))
         return pa.table({"n": [pc.sum(table.column("n")).as_py()], "df": pa.array([df.tobytes()], pa.binary())})
 
-    parts = docs.select(text_col).mapInArrow(tidy(run), "n long, df binary")
+    parts = small_batches(docs).select(text_col).mapInArrow(tidy(run), "n long, df binary")
     # Two levels of sums, so that no task adds up more than a few hundred parts.
     first = parts.groupBy((F.spark_partition_id() % 64).alias("g")).applyInArrow(add, "n long, df binary")
     rows = first.toArrow()
@@ -288,7 +288,7 @@ def findings(docs: DataFrame, indexes: list[Index], id_col: str = "doc_id", text
                 rows = sorted(matches(part, texts).items())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for (r, _), _ in rows], pa.int64())), part.ids.take(pa.array([k for (_, k), _ in rows], pa.int64())), pa.array([x for _, x in rows], pa.float64())], names=[id_col, "item_id", "lcs"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, item_id {item}, lcs double").distinct()
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, item_id {item}, lcs double").distinct()
 
 
 def drop_contaminated(docs: DataFrame, indexes: list[Index], text_col: str = "text") -> DataFrame:
@@ -303,7 +303,7 @@ def drop_contaminated(docs: DataFrame, indexes: list[Index], text_col: str = "te
                 clean[[r for r, _ in matches(part, texts)]] = False
             yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolattice.llm._store import documents, keep
+from geolattice.llm._store import documents, keep, small_batches
 from geolattice.llm._text import hash_words, slices, texts_of, tidy
 
 MIN_WORDS, BLOCK_CHARS = 10, 128_000_000
@@ -213,7 +213,7 @@ def unique_text(pages: DataFrame, min_words: int = MIN_WORDS, block_chars: int =
     """id, host, text (the runs unique to the page), n_words, n_kept of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
     large = keep(_blocks(pages, block_chars, url_col, html_col), "large-hosts")
-    rows = pages.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("page_key"), _host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("page_key"), _host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     rows = rows.join(large, "host", "left").withColumn("block", F.pmod("page_key", F.coalesce("blocks", F.lit(1)).cast("long"))).select("id", "page_key", "host", "block", F.col("blocks").isNotNull().alias("split"), "html")
 
     def strip(batches):

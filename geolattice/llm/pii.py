@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolattice.llm._store import documents
+from geolattice.llm._store import documents, small_batches
 from geolattice.llm._text import texts_of, tidy
 
 _LOOKS = dict(zip("АВСЕНІЈКМОРЅТХУаеіјорсухѕԁԛԝһАΑΒΕΖΗΙΚΜΝΟΡΤΥΧοενρτυικ", "ABCEHIJKMOPSTXYaeijopcyxsdqwhAABEZHIKMNOPTYXoevptuik"))
@@ -222,7 +222,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 names=[id_col, "start", "end", "kind", "value", "disguised"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, start long, end long, kind string, value string, disguised boolean")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, start long, end long, kind string, value string, disguised boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolattice.llm._shares import ASKING, HELD, counted, dealt, parts_of
-from geolattice.llm._store import documents, fresh, keep
+from geolattice.llm._store import documents, fresh, keep, small_batches
 from geolattice.llm._text import encoded, hash_words, reduce_rows, slices, texts_of, tidy, words_of
 from geolattice.llm.components import components
 
@@ -111,7 +111,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             some = np.flatnonzero(size)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *(pa.array(fp[some, k].view(np.int64)) for k in range(4))], names=["id", "w0", "w1", "w2", "w3"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null").mapInArrow(tidy(run), f"id {kind}, w0 long, w1 long, w2 long, w3 long")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null").mapInArrow(tidy(run), f"id {kind}, w0 long, w1 long, w2 long, w3 long")
     return rows.groupBy("id").agg(F.min(F.struct("w0", "w1", "w2", "w3")).alias("w")).select("id", "w.*")
 
 
