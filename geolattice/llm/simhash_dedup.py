@@ -5,25 +5,20 @@ words' hashed +-1 vectors; a word weighs as its length less 3 (0 to 8), since th
 words of a language are those that all its texts share.  Two documents are near copies
 if their fingerprints differ in at most `MAX_BITS` bits.
 
-Candidates come from the four 64-bit words of the fingerprint, each cut into `PARTS`
-substrings: a pair is compared if in one substring it differs in at most `FLIPS` bits,
-and in the whole word in at most `WORD_BITS`.  That is part of what a near copy is here,
-at any number of documents: all pairs within PARTS * 4 * (FLIPS + 1) - 1 = 31 bits meet
-it (but for words more than WORD_BITS apart), and of those at exactly 52 bits about nine
-in ten.  The number of documents decides only how many tasks share an index.
-
-Each fingerprint is sent to the index of each of its substrings and searches those of
-the substrings within `FLIPS` bits.  In each index the fingerprints of one substring are
-sorted by Gray rank, in which neighbours share long bit patterns, and put under a tree
-of eight-way nodes: a node holds the bits that all below it share, as mask and pattern,
-less those its parent holds.  A search carries the bits that differ so far and drops a
-node, with all below it, once they exceed `WORD_BITS`, or once all below it is known to
-be of the search's own group.  Nothing is cut off: each fingerprint searches, however
-many partners it has, and what comes out is a forest of links, not all pairs.
-
-A group of very many near copies shares substrings.  Its members are linked to some of
-them first, so that most of its pairs are never looked at, and an index that holds more
-than `HOT` times its part is cut to several tasks (`_shares`).
+All pairs within `MAX_BITS` are found, at any number of documents.  Of a pair within 52
+bits, one of the four 64-bit words differs in at most 13 (the first) or 12 bits, else all
+would differ in 53 or more; and so one of that word's parts differs in no more bits than
+`allotted` gives it, at most 3.  Words are searched once for each part.
+
+The fingerprints are dealt to shares by a hash, and a task takes one word and two shares,
+so that each pair meets once for each word.  One share's words are put under trees, one
+for each pattern of the part, in which they are sorted by Gray rank: neighbours share long
+bit patterns, and a node of eight holds the bits that all below it share, as mask and
+pattern.  The other share's words search them, a block of equal parts at a time, from the
+roots of all patterns near enough: a node, with all below it, is dropped if it differs
+too much from the bits that the block shares, or once block and node are known to be of
+one group; what is left is compared bit by bit.  What comes out is a forest of links, not
+all pairs.
 
 Equal fingerprints are one from the start.  Links are joined to groups by distributed
 connected components, and the least id of each group stays.  Inside, a fingerprint goes
@@ -37,7 +32,6 @@ whatever their names; very long texts are read whole.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -46,17 +40,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolattice.llm._shares import ASKING, HELD, counted, dealt, parts_of
 from geolattice.llm._store import documents, fresh, keep, small_batches
 from geolattice.llm._text import encoded, hash_words, reduce_rows, slices, texts_of, tidy, words_of
 from geolattice.llm.components import components
 
-MAX_BITS, WORD_BITS, PARTS, FLIPS = 52, 14, 4, 1
-#: Fingerprints that an index task holds, about.
-INDEX_ROWS = 250_000
-#: An index of more than so many times that is dealt to several tasks.
-HOT = 4
-FAN = 8
+MAX_BITS = 52
+#: What holds of every near pair: in some word at most so many bits differ, and in a quarter of that word at most so many.
+WORD_BITS, FLIPS = MAX_BITS // 4, MAX_BITS // 16
+#: Fingerprints of a share, at most about.
+INDEX_ROWS = 1_000_000
+#: Parts of a word where a share holds fewer fingerprints than this; the choice changes the work, not the result.
+PARTS = [(2000, 0), (16_000, 8), (120_000, 6), (600_000, 5), (float("inf"), 4)]
+FAN, BLOCK, PIECE = 8, 64, 4096
 _SPREAD = np.array([int.from_bytes(bytes((b >> k) & 1 for k in range(8)), "little") for b in range(256)], np.uint64)
 
 
@@ -153,41 +148,52 @@ class GrayTree:
             self.one.append((low == high, at))
         self.one.reverse()
 
-    def search(self, q: np.ndarray, node: np.ndarray, words: np.ndarray, most: int, labels: np.ndarray, own: np.ndarray):
-        """Pairs (index into words, entry) within `most` bits whose labels differ, in pieces; node: the root to start each q at.
+    def search(self, q: np.ndarray, node: np.ndarray, words: np.ndarray, most: int, labels: np.ndarray, own: np.ndarray, roots=lambda node: np.array([node])):
+        """Pairs (index into words, entry) within `most` bits whose labels differ, in pieces; roots: those to start the q of one node at.
 
-        labels, of words, may be merged in place between the pieces; own: place of each entry among words.
+        labels, of words, may be merged in place between the pieces; own: place of each
+        entry among words.  Fast where q of one node stand together.
         """
-        pattern, mask, _ = self.levels[0]
-        far = np.bitwise_count((words[q] ^ pattern[node]) & mask[node])
-        ok = far <= most
-        yield from self._down(0, q[ok], node[ok], far[ok].astype(np.uint8), words, most, labels, own)
-
-    def _down(self, level: int, q, node, far, words, most, labels, own):
-        if not len(q):
-            return
-        one, entry = self.one[level]
-        apart = ~one[node] | (labels[own[entry[node]]] != labels[q])
-        q, node, far = q[apart], node[apart], far[apart]
-        pattern, mask, starts = self.levels[level]
-        if starts is None:
-            yield q, self.order[node]
-            return
-        n = starts[node + 1] - starts[node]
-        ends = np.cumsum(n)
-        if len(q) > 1 and ends[-1] > 1_000_000:  # held in memory piece by piece
-            half = max(1, min(len(q) - 1, int(np.searchsorted(ends, ends[-1] // 2))))
-            yield from self._down(level, q[:half], node[:half], far[:half], words, most, labels, own)
-            yield from self._down(level, q[half:], node[half:], far[half:], words, most, labels, own)
-            return
-        if not len(q):
-            return
-        child = np.repeat(starts[node] - np.concatenate([[0], ends[:-1]]), n) + np.arange(ends[-1])
-        up, q, far = np.repeat(node, n), np.repeat(q, n), np.repeat(far, n)
-        below, below_mask, _ = self.levels[level + 1]
-        far = far + np.bitwise_count((words[q] ^ below[child]) & (below_mask[child] & ~mask[up])).astype(np.uint8)
-        ok = far <= most
-        yield from self._down(level + 1, q[ok], child[ok], far[ok], words, most, labels, own)
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(q) else []
+        for a, b in zip(starts, [*starts[1:], len(q)]):
+            first = roots(node[a])
+            for lo in range(a, b, BLOCK) if len(first) else ():
+                mine = q[lo : min(b, lo + BLOCK)]
+                near = self._near(mine, first, words, most, labels, own)
+                head = labels[mine[len(mine) // 2]]
+                alike = labels[mine] == head
+                if alike.sum() * 4 < len(mine) or len(mine) == 1:
+                    yield from self._compared(mine, near, words, most, labels, own)
+                else:  # much of the block is of one group already
+                    yield from self._compared(mine[alike], near[labels[own[self.order[near]]] != head], words, most, labels, own)
+                    yield from self._compared(mine[~alike], near, words, most, labels, own)
+
+    def _near(self, mine: np.ndarray, node: np.ndarray, words: np.ndarray, most: int, labels: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Places, in Gray order, of the entries under `node` that a word of the block may be near to."""
+        pattern = words[mine[0]]
+        mask = ~np.bitwise_or.reduce(words[mine] ^ pattern)
+        label = labels[mine[0]]
+        alike = (labels[mine] == label).all()
+        for (below, below_mask, starts), (one, entry) in zip(self.levels[:-1], self.one):
+            ok = np.bitwise_count((below[node] ^ pattern) & below_mask[node] & mask) <= most
+            if alike:
+                ok &= ~one[node] | (labels[own[entry[node]]] != label)
+            node = node[ok]
+            first = starts[node]
+            n = starts[node + 1] - first
+            ends = np.cumsum(n)
+            node = np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        return node
+
+    def _compared(self, mine: np.ndarray, near: np.ndarray, words: np.ndarray, most: int, labels: np.ndarray, own: np.ndarray):
+        for lo in range(0, len(near) if len(mine) else 0, PIECE):
+            some = near[lo : lo + PIECE]
+            far = np.bitwise_count(words[mine][:, None] ^ self.levels[-1][0][some])
+            at = np.flatnonzero(far <= most)
+            q, entry = mine[at // len(some)], self.order[some[at % len(some)]]
+            apart = labels[q] != labels[own[entry]]
+            if apart.any():
+                yield q[apart], entry[apart]
 
 
 def _link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,112 +213,72 @@ def _link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = labels[a], labels[b]
 
 
-def _gather(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fp: np.ndarray, word: int, max_bits: int, word_bits: int, least: int = 64) -> dict[int, int]:
-    """Links rows of equal key to some of them, as long as each takes in an eighth of its key's rows; rows are sorted by key.
-
-    Only pairs that are near copies are linked, so this changes the work that is left, not
-    the result.  Gives the first of these rows for the keys that have many.
-    """
-    heads: dict[int, int] = {}
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    for a, b in zip(starts, [*starts[1:], len(keys)]):
-        left = rows[a:b]
-        while len(left) > least:
-            head = left[len(left) // 2]
-            apart = np.bitwise_count(fp[left] ^ fp[head])
-            near = (apart[:, word] <= word_bits) & (apart.sum(1, dtype=np.int64) <= max_bits)
-            labels[:] = _link(labels, left[near], np.full(near.sum(), head))
-            heads.setdefault(int(keys[a]), int(head))
-            if near.sum() * 8 < len(left):
-                break
-            left = left[~near]
-    return heads
-
-
-def share_bits(n: int, width: int, index_rows: int = INDEX_ROWS) -> int:
-    """Leading bits of a substring that share out its index: four shares at least."""
-    return min(width - 2, max(2, math.ceil(math.log2(max(1, n / index_rows)))))
+def allotted(most: int, parts: int) -> list[int]:
+    """Bits for each part, such that of two patterns within `most` bits some part differs in no more than its own; below 0 for none."""
+    each, more = divmod(most - parts + 1, parts)
+    return [each + (k < more) for k in range(parts)]
 
 
-def cuts(m: int) -> list[tuple[int, int]]:
-    """Lowest bit and width of each substring."""
-    ends = [64 * k // m for k in range(m + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+def places(n: int, most: int) -> list[tuple[int, int, int]]:
+    """Lowest bit, width and greatest difference of each part by which words within `most` bits are searched, in shares of n rows."""
+    m = next(m for few, m in PARTS if n < few)
+    ends = [-(-64 * k // m) for k in range(m + 1)] if m else []
+    return [(a, b - a, t) for a, b, t in zip(ends, ends[1:], allotted(most, m)) if t >= 0] if m else [(0, 0, 0)]
 
 
-def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, word_bits: int = WORD_BITS, parts: int = PARTS, flips: int = FLIPS, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """a, b: links that join all near copies among n distinct fingerprints (id: a long, w0..w3)."""
-    m, parts = parts, cuts(parts)
-    high = share_bits(n, min(w for _, w in parts), index_rows)
-    reach = [sum(1 << k for k in c) for f in range(min(flips, high) + 1) for c in combinations(range(high), f)]
-    places = [(word, part) for word in range(4) for part in range(m)]
-
-    fields = "place int, share int, cell long, role int, id long, w0 long, w1 long, w2 long, w3 long"
-
-    def top(words: np.ndarray, part: int) -> np.ndarray:
-        low, width = parts[part]
-        return (words.view(np.uint64) >> np.uint64(low + width - high)) & np.uint64((1 << high) - 1) if high else np.zeros(len(words), np.uint64)
-
-    def count(batches):
-        total = np.zeros((len(places), 1 << high), np.int64)
-        for b in batches:
-            words = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            total += counted([top(words[word], part) for word, part in places], high)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["at", "n"])
+def links(prints: DataFrame, n: int, max_bits: int = MAX_BITS, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """a, b: links that join all pairs within max_bits among n distinct fingerprints (id: a long, w0..w3)."""
+    deal, budget = max(2, -(-n // index_rows)), allotted(max_bits, 4)
+    used = [word for word in range(4) if budget[word] >= 0]
 
-    sums = prints.select("w0", "w1", "w2", "w3").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT * index_rows).toArrow()  # hot shares
-    held = np.zeros(len(places) << high, np.int64)
-    held[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    cells = parts_of(held, HOT * index_rows).reshape(len(places), -1)
+    def share_of(ids: np.ndarray) -> np.ndarray:
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % deal
 
     def send(batches):
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            for place, (word, part) in enumerate(places):
-                own = top(cols[1 + word], part)
-                for r in reach:
-                    share = (own ^ np.uint64(r)).astype(np.int32)
-                    for rows, cell, role in dealt(share, r == 0, cols[0], cells[place]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), place, np.int32)), pa.array(share[rows]), pa.array(cell), pa.array(np.full(len(rows), role, np.int32)), *(pa.array(c[rows]) for c in cols)], names=[f.split()[0] for f in fields.split(", ")])
+            mine = share_of(b.column(0).to_numpy(zero_copy_only=False))
+            for word in used:
+                for k in range(deal):
+                    cell = (word * deal + np.minimum(mine, k)) * deal + np.maximum(mine, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), *b.columns], names=["cell", "id", "w0", "w1", "w2", "w3"])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        place, share = key[0].as_py(), key[1].as_py()
-        word, part = places[place]
-        low, width = parts[part]
-        ids, role = table.column("id").to_numpy(), table.column("role").to_numpy()
+        pair, j = divmod(key[0].as_py(), deal)
+        word, i = divmod(pair, deal)
+        ids = table.column("id").to_numpy()
         fp = np.stack([table.column(f"w{k}").to_numpy().view(np.uint64) for k in range(4)], axis=1)
-        sub = (fp[:, word] >> np.uint64(low)) & np.uint64((1 << width) - 1)
-        rest = width - high
-        away = np.bitwise_count((sub >> np.uint64(rest)) ^ np.uint64(share)).astype(np.int64)
-        key_low = (sub & np.uint64((1 << rest) - 1)).astype(np.int64)
-        own = np.flatnonzero((away == 0) & (role != ASKING))
-        tree, words, labels = GrayTree(key_low[own], fp[own, word]), np.ascontiguousarray(fp[:, word]), np.arange(len(ids))
-        here = np.flatnonzero(away == 0)
-        here = here[np.argsort(key_low[here], kind="stable")]
-        heads = _gather(labels, here, key_low[here], fp, word, max_bits, word_bits)
-        head = np.array([heads.get(k, -1) for k in tree.keys.tolist()], np.int64)
-        for f in range(flips + 1) if len(own) else ():
-            query = np.flatnonzero((away + f <= flips) & (role != HELD))
-            for c in combinations(range(rest), f):
-                wanted = key_low[query] ^ sum(1 << k for k in c)
-                root = np.minimum(np.searchsorted(tree.keys, wanted), len(tree.keys) - 1)
-                hit = np.flatnonzero(tree.keys[root] == wanted)
-                first = hit[head[root[hit]] >= 0]  # those that are near the head of a crowd are of its group
-                q, to = query[first], head[root[first]]
-                apart = np.bitwise_count(fp[q] ^ fp[to])
-                near = (apart[:, word] <= word_bits) & (apart.sum(1, dtype=np.int64) <= max_bits)
-                labels[:] = _link(labels, q[near], to[near])
-                tree.known(labels[own])
-                for q, entry in tree.search(query[hit], root[hit], words, word_bits, labels, own):
-                    entry = own[entry]
-                    near = np.bitwise_count(fp[q] ^ fp[entry]).sum(1, dtype=np.int64) <= max_bits
-                    labels[:] = _link(labels, q[near], entry[near])
+        mine, labels, words = share_of(ids), np.arange(len(ids)), np.ascontiguousarray(fp[:, word])
+        asking, own = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        for low, width, flips in places(max(len(asking), len(own)), budget[word]) if len(asking) and len(own) else ():
+            value = ((words >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            tree = GrayTree(value[own], words[own])
+            tree.known(labels[own])
+            root = np.full(1 << width, -1)
+            root[tree.keys] = np.arange(len(tree.keys))
+            reach = np.array([sum(1 << k for k in c) for f in range(flips + 1) for c in combinations(range(width), f)])
+
+            def roots(value: int, root=root, reach=reach) -> np.ndarray:
+                first = root[value ^ reach]
+                return first[first >= 0]
+
+            q = asking[np.lexsort((gray_rank(words[asking]), value[asking]))]
+            found, size = [], 0
+            for a, entry in tree.search(q, value[q], words, budget[word], labels, own, roots):
+                b = own[entry]
+                near = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64) <= max_bits
+                found.append((a[near], b[near]))
+                size += int(near.sum())
+                if size >= PIECE:
+                    labels[:] = _link(labels, *map(np.concatenate, zip(*found)))
+                    tree.known(labels[own])
+                    found, size = [], 0
+            if size:
+                labels[:] = _link(labels, *map(np.concatenate, zip(*found)))
         moved = np.flatnonzero(labels != np.arange(len(ids)))
         return pa.table({"a": ids[moved], "b": ids[labels[moved]]})
 
-    sent = prints.select("id", "w0", "w1", "w2", "w3").mapInArrow(send, fields)
-    return sent.groupBy("place", "share", "cell").applyInArrow(join, "a long, b long")
+    sent = prints.select("id", "w0", "w1", "w2", "w3").mapInArrow(send, "cell long, id long, w0 long, w1 long, w2 long, w3 long")
+    return sent.groupBy("cell").applyInArrow(join, "a long, b long")
 
 
 def copies(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:

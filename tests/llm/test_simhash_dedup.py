@@ -93,6 +93,39 @@ def test_links_do_not_depend_on_the_number_of_documents(spark, n, index_rows):
     assert np.mean([(k, pairs + k) in got for k in range(0, pairs, 20)]) >= 0.85
 
 
+def test_no_pair_within_the_threshold_is_left_out(spark):
+    """Pairs at each distance up to MAX_BITS and beyond, the bits spread evenly over all words and quarters, or at random: those within it, no other."""
+    rng = np.random.default_rng(12)
+    pairs = 2000
+    bits = rng.integers(0, 2, (2 * pairs, 256), np.uint8)
+    bits[pairs:] = bits[:pairs]
+    for k in range(pairs):
+        n = S.MAX_BITS + 1 - k % 20
+        even = [16 * (j % 16) + j // 16 for j in range(n)]  # no quarter within one bit, few words within 12
+        bits[pairs + k, even if k % 2 else rng.choice(256, n, replace=False)] ^= 1
+    fp = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    table = spark.createDataFrame([(k, *row) for k, row in enumerate(fp.view(np.int64).tolist())], "id long, w0 long, w1 long, w2 long, w3 long").repartition(2)
+    want = {(k, pairs + k) for k in range(pairs) if k % 20}
+    for index_rows in (S.INDEX_ROWS, 300):
+        assert {(min(r), max(r)) for r in S.links(table, len(fp), index_rows=index_rows).collect()} == want
+    few = {(k, pairs + k) for k in range(pairs) if S.MAX_BITS + 1 - k % 20 <= 40}
+    assert {(min(r), max(r)) for r in S.links(table, len(fp), max_bits=40).collect()} == few
+
+
+@pytest.mark.parametrize("m", [0, 4, 5, 6, 8])
+def test_any_number_of_parts_finds_the_same(spark, m, monkeypatch):
+    monkeypatch.setattr(S, "PARTS", [(float("inf"), m)])
+    rng = np.random.default_rng(13)
+    bits = np.repeat(rng.integers(0, 2, (150, 256), np.uint8), 3, 0)
+    for row in bits:
+        row[rng.choice(256, rng.integers(0, 40), replace=False)] ^= 1
+    fp = np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.uint64), axis=0)
+    table = spark.createDataFrame([(k, *row) for k, row in enumerate(fp.view(np.int64).tolist())], "id long, w0 long, w1 long, w2 long, w3 long")
+    got = {r["id"]: r["root"] for r in components(S.links(table, len(fp))).collect()}
+    want = S._link(np.arange(len(fp)), *pairs_within(fp, S.MAX_BITS))
+    assert [got.get(k, k) for k in range(len(fp))] == want.tolist() and (want != np.arange(len(fp))).sum() > 100
+
+
 @pytest.mark.parametrize("index_rows", [S.INDEX_ROWS, 100])
 def test_a_crowd_of_near_copies_that_all_differ(spark, index_rows):
     """Thousands within a few bits of one fingerprint, a chain that leads away from it, and others: the groups of brute force."""
