@@ -102,3 +102,47 @@ def test_null_and_empty_languages_are_two(spark):
     model.thresholds = {None: 1.0, "": 0.0}
     batch = pa.RecordBatch.from_pydict({"text": texts[:4], "lang": langs[:4]})
     assert T._judge(model, batch, "text", "lang")[1].tolist() == [False, False, True, True]
+
+
+def test_all_labelled_rows_train(spark, docs):
+    """8000 labelled rows; what only the last 1500 by hash of the id say is toxic is learnt too."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    order = [r["id"] for r in spark.range(8000).orderBy(F.xxhash64("id"), "id").collect()]
+    known = []
+    for place, k in enumerate(order):
+        bad = rng.random() < 0.2
+        word = ("vilescum" if place < 6500 else "lowlife") if bad else rng.choice(["harmless", ""])
+        known.append((k, f"{prose(rng, rng.randint(3, 12))} {word} {prose(rng, rng.randint(3, 12))}", rng.choice(["en", "fr", None]), "s", int(bad)))
+    model = T.fit(docs([r[:4] for r in known]), labels_of(spark, known))
+    assert set(model.thresholds) == {"en", "fr", None}
+    new = [(k, f"{prose(rng, 8)} {['vilescum', 'lowlife', 'harmless', ''][k % 4]} {prose(rng, 8)}", ["en", "fr", None][k % 3], "s") for k in range(400)]
+    found = {r["doc_id"] for r in T.toxic_documents(docs(new), model).collect()}
+    for kind in (0, 1):
+        assert sum(k in found for k in range(kind, 400, 4)) >= 95
+    assert sum(k in found for k in range(400) if k % 4 > 1) <= 4
+
+
+def test_shards_train_as_one_process_does(spark, docs, monkeypatch):
+    """Few rows made to train in shards: held-out accuracy; odd and repeated rows change nothing; the order of rows neither."""
+    known, new = labelled(1, 900), labelled(2, 400)
+    monkeypatch.setattr(T, "LOCAL_ROWS", 500)
+    rows = [r[:4] for r in known] + [(5000, None, "en", "s"), (5001, "", None, "s"), (None, "lost", "en", "s")]
+    labels = labels_of(spark, known + [(5000, "", "", "", 0), (5001, "", "", "", 0)])
+    model = T.fit(docs(rows), labels)
+    assert set(model.thresholds) == {"en", "fr"}
+    found = {r["doc_id"] for r in T.toxic_documents(docs([r[:4] for r in new]), model).collect()}
+    truth = {r[0] for r in new if r[4]}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 0.02 * (400 - len(truth))
+    other = T.fit(docs(list(reversed(rows)) + rows[:300]).repartition(5), labels.repartition(3))
+    assert np.array_equal(model.table, other.table) and model.thresholds == other.thresholds and model.default == other.default
+    assert T.fit(docs(rows), labels_of(spark, [r for r in known if not r[4]])) is None
+
+
+def test_thresholds_same_as_by_hand(spark):
+    rng = np.random.default_rng(14)
+    rows = [(["en", "fr", "", None][k % 4], int(rng.random() < 0.3), float(rng.integers(0, 40)) / 40) for k in range(600)] + [("few", 1, 0.5), ("few", 0, 0.4)]
+    own, default = T.thresholds(spark.createDataFrame(rows, "lang string, t int, p double"))
+    by_hand = lambda some: T._threshold(np.array([r[2] for r in some]), np.array([r[1] for r in some]))
+    assert own == {x: by_hand([r for r in rows if r[0] == x]) for x in ("en", "fr", "", None)} and default == by_hand(rows)
