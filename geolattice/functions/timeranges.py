@@ -35,6 +35,8 @@ def instant(text: str) -> str:
 
 
 def _text(at: datetime, shift: int = 0) -> str:
+    if not shift:
+        return at.isoformat(timespec="microseconds")
     return f"{at.year + 400 * shift:04d}-{at:%m-%dT%H:%M:%S}.{at.microsecond:06d}"
 
 

@@ -23,6 +23,7 @@ from geolattice.functions.timeranges import earlier, instant
 from geolattice.model import FRAGMENT_SCHEMA, ITEM_SCHEMA, PROMOTED, PROMOTED_NAMES, TEMPORAL
 from geolattice.plans.normalize import geometry_of
 
+_COLUMN = {p.name: (p.column, p.kind) for p in PROMOTED}
 _TOP = {"id", "geometry", "collection", "type", "bbox", "links", "assets", "properties", "stac_version", "stac_extensions"}
 _EPOCH = datetime(1970, 1, 1)
 
@@ -33,7 +34,10 @@ class BadItem(ValueError):
 
 def micros(text: str) -> int:
     """Microseconds since 1970 of an instant; years beyond 9999 too."""
-    at = instant(text)
+    return _micros(instant(text))
+
+
+def _micros(at: str) -> int:
     year = int(at.split("-")[0])
     shift = (year - 2000) // 400 if year > 9999 else 0
     near = datetime.fromisoformat(f"{year - 400 * shift:04d}-{at.split('-', 1)[1]}")
@@ -74,8 +78,13 @@ def _promoted_value(kind: str, v: Any) -> Any:
     return D.canonical(v)
 
 
+def _rest(doc: dict) -> dict:
+    """Properties without columns of their own."""
+    return {k: v for k, v in (doc.get("properties") or {}).items() if k not in _COLUMN and k not in TEMPORAL}
+
+
 def row_of(doc: dict, now: int | None = None) -> dict[str, Any]:
-    """One document as a row; times are microseconds."""
+    """One document as a row; times are microseconds. Promoted properties that it hasn't are left out."""
     if doc.get("id") is None:
         raise BadItem("an item needs an id")
     props = doc.get("properties") or {}
@@ -86,15 +95,16 @@ def row_of(doc: dict, now: int | None = None) -> dict[str, Any]:
     box = box_of(geometry) or (None,) * 4
     text = lambda v: None if v is None else D.canonical(v)
     extra = {k: v for k, v in doc.items() if k not in _TOP}
+    own = {_COLUMN[k][0]: _promoted_value(_COLUMN[k][1], v) for k, v in props.items() if k in _COLUMN}
     out = dict(zip(("xmin", "ymin", "xmax", "ymax"), box))
     out |= {
-        "id": str(doc["id"]), "collection": doc.get("collection"), "geometry": D.canonical(geometry), "datetime": micros(start), "end_datetime": micros(end), "datetime_is_range": is_range,
+        "id": str(doc["id"]), "collection": doc.get("collection"), "geometry": D.canonical(geometry), "datetime": _micros(start), "end_datetime": _micros(end), "datetime_is_range": is_range,
         "stac_version": doc.get("stac_version"), "stac_extensions": text(doc.get("stac_extensions") or []), "updated_at": now, "item_hash": D.digest(doc), "fragment_hash": None,
         "bbox": text(doc.get("bbox")), "links": text(doc.get("links") or None), "assets": text(doc.get("assets") or None),
-        "properties": D.canonical({k: v for k, v in props.items() if k not in PROMOTED_NAMES and k not in TEMPORAL}), "extra": text(extra or None),
+        "properties": D.canonical(_rest(doc)), "extra": text(extra or None),
         "link_hrefs": D.link_targets(doc.get("links")), "private": None,
     }
-    return out | {p.column: _promoted_value(p.kind, props.get(p.name)) for p in PROMOTED}
+    return out | own
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -102,8 +112,11 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _table(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    arrays = []
+    arrays, used = [], {k for r in rows for k in r}
     for f in schema:
+        if f.name not in used:
+            arrays.append(pa.nulls(len(rows), f.type))
+            continue
         values = [r.get(f.name) for r in rows]
         arrays.append(pa.array(values, pa.int64()).cast(f.type) if pa.types.is_timestamp(f.type) else pa.array(values, f.type))
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -119,6 +132,8 @@ _SPLIT_SCHEMA = T.StructType([*ITEM_SCHEMA.fields, T.StructField("frag_content",
 def dehydrate(docs: DataFrame, configs: DataFrame | None = None, doc_col: str = "doc") -> DataFrame:
     """Rows of ITEM_SCHEMA, with the fragment's content and links template beside them, from JSON documents.
 
+    Reading a document is the greatest part of loading it, and a small file may hold
+    millions, so documents are dealt to as many tasks as there are cores, or more by size.
     configs: id, fragment_config of collections; it is as small as the list of collections,
     and the planner broadcasts it if it is.
     """
@@ -137,9 +152,9 @@ def dehydrate(docs: DataFrame, configs: DataFrame | None = None, doc_col: str =
                 if config and (piece is not None or template is not None):
                     row["frag_content"] = D.canonical(piece or {})
                     row["frag_links"] = None if template is None else D.canonical(template)
-                    for top in ("assets", "properties"):
-                        if row[top] is not None:
-                            row[top] = D.canonical(D.without_fragment(json.loads(row[top]), top, config))
+                    if row["assets"] is not None:
+                        row["assets"] = D.canonical(D.without_fragment(doc["assets"], "assets", config))
+                    row["properties"] = D.canonical(D.without_fragment(_rest(doc), "properties", config))
                     row["links"] = None
                     if "stac_extensions" in config:
                         row["stac_extensions"] = None
@@ -153,7 +168,7 @@ def dehydrate(docs: DataFrame, configs: DataFrame | None = None, doc_col: str =
         rows = rows.withColumn("config", F.lit(None).cast("array<string>"))
     else:
         rows = rows.withColumn("c", F.get_json_object("doc", "$.collection")).join(configs.select(F.col("id").alias("c"), F.col("fragment_config").alias("config")), "c", "left").select("doc", "config")
-    split = rows.mapInArrow(run, _SPLIT_SCHEMA)
+    split = rows.hint("rebalance").mapInArrow(run, _SPLIT_SCHEMA)
     own = F.sha2(F.concat_ws("\x1f", F.coalesce("frag_content", F.lit("")), F.coalesce("frag_links", F.lit("\x1e"))), 256)
     return split.withColumn("fragment_hash", F.when(F.col("frag_content").isNotNull(), own))
 

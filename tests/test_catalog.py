@@ -318,3 +318,14 @@ def test_analyze_and_violations(catalog):
     with catalog._change() as manifest:
         manifest["items"][0]["paths"] *= 2
     assert ("a", "twice in its collection") in {(r["id"], r["reason"]) for r in catalog.violations().collect()}
+
+
+def test_one_file_is_the_work_of_several_tasks(spark, tmp_path):
+    """Documents of one split are dealt out before they are read."""
+    path = str(tmp_path / "docs")
+    rows = spark.range(0, 20_000, 1, 1).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.lit("c").alias("collection"), F.array(*[F.lit(x) for x in (0, 0, 1, 1)]).alias("bbox"), F.struct(F.lit("2020-01-01T00:00:00Z").alias("datetime"), F.sha2(F.col("id").cast("string"), 512).alias("n")).alias("properties"))).alias("doc"))
+    rows.write.parquet(path)
+    read = spark.read.parquet(path)
+    assert read.rdd.getNumPartitions() == 1
+    split = I.dehydrate(read)
+    assert split.select(F.spark_partition_id()).distinct().count() > 1 and split.select("id").distinct().count() == 20_000
