@@ -215,19 +215,19 @@ def hydrate_row(row: dict[str, Any], fields: dict | None = None) -> dict:
         props = {"datetime": row["datetime"]}
         if row["datetime"] != row["end_datetime"]:
             props |= {"start_datetime": row["datetime"], "end_datetime": row["end_datetime"]}
-    for p in PROMOTED:
-        v = row.get(p.column)
+    for name, (column, kind) in _COLUMN.items():
+        v = row.get(column)
         if v is None:
             continue
-        if p.kind == "json":
+        if kind == "json":
             v = load(v)
             if v is None:
                 continue
-        elif p.kind == "texts":
+        elif kind == "texts":
             v = list(v)
-        elif p.kind == "double" and v == int(v) and abs(v) < 1e15:
+        elif kind == "double" and v == int(v) and abs(v) < 1e15:
             v = int(v)
-        props[p.name] = v
+        props[name] = v
     shared = {k: v for k, v in (frag.get("properties") or {}).items()}
     own = D.merge(shared, load(row["properties"]) or {})
     doc = {"id": row["id"], "type": "Feature", "collection": row["collection"], "geometry": load(row["geometry"])}
@@ -257,10 +257,14 @@ def hydrate(items: DataFrame, fragments: DataFrame | None = None, fields: dict |
         rows = rows.withColumns({"frag_content": F.lit(None).cast("string"), "frag_links": F.lit(None).cast("string")})
     stamps = [c for c, t in rows.dtypes if t.startswith("timestamp") and c not in keep]
     names = [f.name for f in ITEM_SCHEMA.fields if f.name not in ("updated_at", "private", "item_hash")] + ["frag_content", "frag_links"]
+    always = set(names) - {column for column, _ in _COLUMN.values()}
     packed = F.struct(*[(time_text(F.col(c)) if c in stamps else F.col(c)).alias(c) for c in names])
 
     @F.arrow_udf("string")
     def rebuild(row: pa.Array) -> pa.Array:
-        return pa.array([D.canonical(hydrate_row(r, fields)) for r in row.to_pylist()], pa.string())
+        # columns without a value are left out, so that a row costs what it holds
+        held = [(n, c) for n, c in zip(names, row.flatten()) if c.null_count < len(c) or n in always]
+        rows = pa.Table.from_arrays([c for _, c in held], names=[n for n, _ in held]).to_pylist()
+        return pa.array([D.canonical(hydrate_row(r, fields)) for r in rows], pa.string())
 
     return rows.select(*keep, rebuild(packed).alias("doc"))
