@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geolattice.functions import documents as D
 from geolattice.functions.aggregates import field_rows
 from geolattice.model import PROMOTED_NAMES, TEMPORAL
 from geolattice.plans.properties import FIXED, Queryable, promoted_queryables
@@ -62,6 +65,17 @@ def from_schema(schema: dict[str, Any], collections: list[str] | None = None, in
 _TYPES = {"number": ("number", "to_float"), "string": ("string", "to_text"), "array": ("array", "to_text_array"), "boolean": ("boolean", "to_text"), "object": ("object", "to_text"), "null": ("string", "to_text")}
 
 
+def _top_kinds(items: DataFrame) -> DataFrame:
+    """collection, name, kind of the items' own properties, each once for a batch of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = {(c, name, kind) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t is not None for name, _, kind in D.paths(json.loads(t), depth=1)}
+            yield pa.RecordBatch.from_pylist([dict(zip(("collection", "name", "kind"), x)) for x in sorted(seen, key=repr)], pa.schema([(n, pa.string()) for n in ("collection", "name", "kind")]))
+
+    return items.select("collection", "properties").mapInArrow(run, "collection string, name string, kind string")
+
+
 def missing(items: DataFrame, registered: list[str], percent: float = 5.0, min_rows: int = 10, seed: int = 42) -> DataFrame:
     """collection, name, type, wrapper of properties in a sample of the items that nothing registers.
 
@@ -70,7 +84,7 @@ def missing(items: DataFrame, registered: list[str], percent: float = 5.0, min_r
     skip = sorted({*registered, *PROMOTED_NAMES, *TEMPORAL})
     share = min(1.0, percent / 100)
     sampled = items.sample(share, seed) if share < 1 and items.count() * share >= min_rows else items
-    top = field_rows(sampled, "properties", "collection").filter(~F.contains("path", F.lit("."))).select("collection", F.col("path").alias("name"), "kind")
+    top = _top_kinds(sampled).filter(~F.contains("name", F.lit(".")))
     rows = top.filter(~F.col("name").isin(skip)).groupBy("collection", "name").agg(F.min_by("kind", F.when(F.col("kind") != "null", F.col("kind"))).alias("kind"))
     as_map = lambda k: F.create_map(*[F.lit(x) for a, b in _TYPES.items() for x in (a, b[k])])
     kind = F.coalesce("kind", F.lit("null"))
