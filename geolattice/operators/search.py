@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -27,6 +28,8 @@ from geolattice.plans.settings import Settings
 DEFAULT_LIMIT = 10
 #: A page's first band of partitions holds so many times the rows of the page.
 BAND_MARGIN = 3
+#: Rows that a task may hold for a top-k.
+TOP_K = 100_000
 
 
 @dataclass
@@ -292,18 +295,24 @@ class Search:
         return out if found.matched is None else out | {"numberMatched": found.matched}
 
     def search_all(self, request: dict, max_items: int | None = None) -> Iterator[dict]:
-        """Features of all pages, one after the other."""
-        done, token = 0, request.get("token")
-        while True:
-            found = self.page(request | {"token": token})
-            for f in found.features:
-                if max_items is not None and done >= max_items:
-                    return
-                done += 1
-                yield f
-            if found.next is None:
-                return
-            token = "next:" + found.next
+        """Features of all pages, one after the other.
+
+        The first page is a top-k, as soon as it is there.  All others are one pass over
+        the matching rows: sorted once, rebuilt by the executors and streamed in by
+        partitions of the sort, so that their number costs no further scans.
+        """
+        found = self.page(request)
+        left = None if max_items is None else max(0, max_items - len(found.features))
+        yield from found.features[:max_items]
+        if found.next is None or left == 0:
+            return
+        p = self.plan(request | {"token": "next:" + found.next})
+        keys = [replace(k, column=F.col(f"k{n}")) for n, k in enumerate(p.keys)]
+        rows = p.page(left) if left is not None and left <= TOP_K else p.matched.filter(p.after)
+        rows = rows.select("*", *[k.column.alias(f"k{n}") for n, k in enumerate(p.keys)])
+        docs = I.hydrate(rows, self.catalog.table("fragments"), request.get("fields"), *[f"k{n}" for n in range(len(keys))]).orderBy(*[k.order() for k in keys]).select("doc")
+        for row in islice(docs.toLocalIterator(), left):
+            yield json.loads(row["doc"])
 
     def collection_search(self, request: dict | None = None) -> dict[str, Any]:
         """Collections that match; always counted, by id if no order is asked for."""

@@ -17,7 +17,7 @@ import numpy as np
 from geolattice.functions.columns import MERC_MAX
 from geolattice.functions.geometry import Box, Shape, clip, union_area
 from geolattice.operators import items as I
-from geolattice.operators.search import Search, plan
+from geolattice.operators.search import TOP_K, Search, plan
 from geolattice.plans.envelope import envelope
 from geolattice.plans.normalize import bbox_polygon
 
@@ -107,10 +107,6 @@ class Coverage:
         return self.area >= self.total * (1 - 1e-9)
 
 
-#: Rows that a task may hold for a top-k.
-TOP_K = 100_000
-
-
 def geometry_search(search: Search, geometry: dict, key: str, fields: dict | None = None, scanlimit: int | None = 10_000, limit: int = 100, timelimit: float = 5.0, exitwhenfull: bool = True, skipcovered: bool = True) -> dict[str, Any]:
     """FeatureCollection of a registered search's items over a geometry."""
     shape = Shape(geometry)

@@ -264,7 +264,7 @@ def _(spark, d):
 @_define("search_everything", f"WITH {CUSTOMERS} SELECT id, collection, balance FROM items WHERE nation = 7")
 def _(spark, d):
     """All pages, one after the other."""
-    got = list(Search(stored_customers(spark, d)).search_all({"filter": _op("=", P("nation"), 7), "limit": 40}))
+    got = Search(stored_customers(spark, d)).search_all({"filter": _op("=", P("nation"), 7), "limit": 40})  # streamed in; only the columns asked for are held
     return spark.createDataFrame([(f["id"], f["collection"], float(f["properties"]["balance"])) for f in got], "id string, collection string, balance double")
 
 

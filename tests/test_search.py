@@ -153,3 +153,18 @@ def test_tiles(spark, tmp_path):
     got = xyz_search(s, 8, 7, 4, key, fields={"include": ["id"]})
     assert got["features"][0] == {"id": "33", "collection": "g"}
     assert ids(xyz_search(s, 0, 0, 4, key)) == []
+
+
+def test_all_pages_are_one_pass(search, monkeypatch):
+    """The pages after the first cost one plan, however many they are."""
+    plans, plan = [], Search.plan
+    monkeypatch.setattr(Search, "plan", lambda self, request: plans.append(request) or plan(self, request))
+    for request in ({"limit": 4}, {"limit": 4, "sortby": ["+eo:cloud_cover", "-datetime"]}, {"limit": 4, "fields": {"include": ["properties.n"]}}):
+        plans.clear()
+        got = [f["id"] for f in search.search_all(request)]
+        assert len(plans) == 2 and got == ids(search.search(request | {"limit": 1000}))
+    first = search.search({"limit": 4})
+    second = search.search({"limit": 4, "token": page_token(first)})
+    assert [f["id"] for f in search.search_all({"limit": 4, "token": page_token(second, "prev")})] == by_time(DOCS)
+    assert [f["id"] for f in search.search_all({"limit": 4, "token": page_token(second)}, 11)] == by_time(DOCS)[8:19]
+    assert [len(list(search.search_all({"limit": 4}, n))) for n in (0, 3, 4, 5)] == [0, 3, 4, 5]
